@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, token_files, toxicity
+from . import bpe, langid, licenses, pii, token_files, toxicity, warc
 
 END_ID = 2
 TOXIC_FROM = 0.3
@@ -33,6 +33,22 @@ def op2_bpe(spark, sf_dir):
     return bpe.digests(made.drop("text"))
 
 
+def op3_pii(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    base = pii.KINDS[:4]
+    counts = [F.size(k).cast("long").alias(f"n_{k}") for k in base]
+    return pii.find(docs).select("doc_id", *counts, F.sha2(pii.listed(base), 256).alias("base_sha256"), pii.listed(pii.KINDS).alias("spans"), F.size("term").cast("long").alias("n_term"))
+
+
+def op4_licenses(spark, sf_dir):
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op7_warc(spark, sf_dir):
+    made = warc.round_trip(table(spark, sf_dir, "pages"))
+    return made.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op8_language(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = F.coalesce(_fold(3) == 1, F.lit(False))
@@ -46,5 +62,15 @@ def op10_token_files(spark, sf_dir):
     return made.select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op2_bpe": op2_bpe, "op8_language": op8_language, "op10_token_files": op10_token_files}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {"op1_toxicity": op1_toxicity, "op2_bpe": op2_bpe, "op3_pii": op3_pii, "op4_licenses": op4_licenses, "op7_warc": op7_warc, "op8_language": op8_language, "op10_token_files": op10_token_files}
+ORACLE_SQL: dict[str, str] = {
+    "op4_licenses": licenses.oracle_sql(),
+    "op7_warc": """
+    WITH rows AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
+    sized AS (SELECT page_id, octet_length(body)::BIGINT AS payload_bytes, sha1(body) AS payload_digest FROM rows),
+    best AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest) END AS target FROM sized)
+    SELECT page_id, payload_bytes, payload_digest,
+      CASE WHEN target IS NULL OR target = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+      CASE WHEN target <> page_id THEN target END AS refers_to
+    FROM best""",
+}
