@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, licenses, pii, token_files, toxicity, warc
+from . import bpe, decontam, jaccard, langid, lattice, licenses, pii, token_files, toxicity, warc
 
 END_ID = 2
 TOXIC_FROM = 0.3
@@ -44,6 +44,17 @@ def op4_licenses(spark, sf_dir):
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op5_embeddings(spark, sf_dir):
+    return lattice.links(table(spark, sf_dir, "embeddings"))
+
+
+def op6_decontamination(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    made = decontam.find(docs, table(spark, sf_dir, "benchmark"))
+    items = F.array_join(F.transform("found", lambda x: x["item_id"].cast("string")), ",")
+    return made.select("doc_id", F.size("found").cast("long").alias("n_items"), items.alias("item_ids"), F.array_min(F.transform("found", lambda x: x["distance"])).cast("long").alias("least_distance"))
+
+
 def op7_warc(spark, sf_dir):
     made = warc.round_trip(table(spark, sf_dir, "pages"))
     return made.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -56,13 +67,17 @@ def op8_language(spark, sf_dir):
     return langid.predict(docs.select("doc_id", "text"), prototypes).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op9_jaccard(spark, sf_dir):
+    return jaccard.join(table(spark, sf_dir, "documents"))
+
+
 def op10_token_files(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     made = token_files.round_trip(docs, public_tokenizers.path("byte_bpe_50k.json"), END_ID)
     return made.select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op2_bpe": op2_bpe, "op3_pii": op3_pii, "op4_licenses": op4_licenses, "op7_warc": op7_warc, "op8_language": op8_language, "op10_token_files": op10_token_files}
+QUERIES = {"op1_toxicity": op1_toxicity, "op2_bpe": op2_bpe, "op3_pii": op3_pii, "op4_licenses": op4_licenses, "op5_embeddings": op5_embeddings, "op6_decontamination": op6_decontamination, "op7_warc": op7_warc, "op8_language": op8_language, "op9_jaccard": op9_jaccard, "op10_token_files": op10_token_files}
 ORACLE_SQL: dict[str, str] = {
     "op4_licenses": licenses.oracle_sql(),
     "op7_warc": """
