@@ -26,7 +26,7 @@ from .arrow import add_columns
 
 #: An item is in a text if a passage is within this share of its length in edits.
 DISTANCE = 0.2
-WALKS, REPEATS, PLACES = 3, 60, 5
+WALKS, REPEATS, PLACES = 3, 60, 6
 #: Steps of a walk that are sampled, by the least length of the class; the walk ends a string after twice its length on average.
 STEPS = 1.7
 GROWTH = 1.5
