@@ -2,13 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from . import fit_queries, prep_queries, scalar_queries
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.range(1)
+QUERIES = {**scalar_queries.QUERIES, **fit_queries.QUERIES, **prep_queries.QUERIES}
+ORACLE_SQL = {**scalar_queries.ORACLE_SQL, **fit_queries.ORACLE_SQL, **prep_queries.ORACLE_SQL}
+flagship = fit_queries.flagship
