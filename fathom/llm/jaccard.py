@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .arrow import slices
 from .components import components
-from .shared import stored
+from .shared import release, stored
 
 WORDS = 5
 #: Links need 100 * intersection >= PERCENT * union.
@@ -34,6 +34,8 @@ PERCENT = 80
 REPORT, FREQUENT = 3, 200_000
 #: Rows of a frequent shingle are dealt to one more task for each so many of its texts.
 DEAL_ROWS = 1000
+#: Up to so many documents to compare, their ids are broadcast to the scan that fetches the texts.
+BROADCAST_IDS = 400_000
 #: Candidates in one prefix tree, and tasks that the candidates of one set are dealt to.
 BLOCK, DEALT = 256, 64
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -220,6 +222,8 @@ def _compare(batches, order: _Order):
         for part in slices(batch, "text"):
             sets = shingle_sets(part.column("text").fill_null(""))
             for a, p, b, found in zip(part.column("a").to_pylist(), part.column("part").to_pylist(), part.column("b").to_pylist(), sets):
+                if _signature(found) != b:
+                    continue  # another text under the same doc_id
                 if (a, p) != group or len(block) >= BLOCK:
                     if block:
                         yield flush()
@@ -257,14 +261,19 @@ class _Join:
 
         rows = self.docs.select("text").mapInArrow(prefixes, "dealt long, token long, sig long, n long, place long")
         dealt = rows.repartition("dealt").sortWithinPartitions("dealt", "sig")
-        return stored(dealt.mapInArrow(_repeated, "token long, sig long, n long, place long"), "jaccard-postings")
+        out = stored(dealt.mapInArrow(_repeated, "token long, sig long, n long, place long"), "jaccard-postings")
+        del rows, dealt
+        release(self.spark)
+        return out
 
     def linked(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) of signatures that reach the bound, as pairs of first documents."""
         pairs = stored(pairs, "jaccard-pairs")
         needed = pairs.select(F.col("a").alias("sig")).union(pairs.select(F.col("b").alias("sig"))).distinct().join(self.first, "sig")
         needed = stored(needed.select("sig", F.col("doc").alias("doc_id")), "jaccard-needed")
-        texts = stored(self.docs.select("doc_id", "text").join(needed, "doc_id").dropDuplicates(["sig"]).select("sig", "text"), "jaccard-texts")
+        few = needed.count() <= BROADCAST_IDS
+        texts = self.docs.select("doc_id", "text").join(F.broadcast(needed) if few else needed, self.docs["doc_id"].eqNullSafe(needed["doc_id"]))
+        texts = stored(texts.select("sig", "text"), "jaccard-texts")
         dealt = pairs.withColumn("part", F.pmod(F.xxhash64("b"), F.lit(DEALT)))
         members = dealt.join(texts.withColumnRenamed("sig", "b"), "b").select("a", "part", "b", "text")
         queries = dealt.select("a", "part").distinct().join(texts.withColumnRenamed("sig", "a"), "a").select("a", "part", F.col("a").alias("b"), "text")
@@ -275,6 +284,7 @@ class _Join:
             yield from _compare(batches, _Order(*order.value))
 
         found = stored(rows.mapInArrow(compare, "a long, b long"), "jaccard-linked")
+        release(self.spark)
         first = self.first.select(F.col("sig").alias("a"), F.col("doc").alias("_a")), self.first.select(F.col("sig").alias("b"), F.col("doc").alias("_b"))
         return stored(found.join(first[0], "a").join(first[1], "b").select(F.col("_a").alias("a"), F.col("_b").alias("b")), "jaccard-links")
 
@@ -282,7 +292,7 @@ class _Join:
         """Each set of a shingle's group with the group's least signature."""
         centres = stored(postings.groupBy("token").agg(F.min_by(F.struct("sig", "n"), "sig").alias("c")).select("token", F.col("c.sig").alias("a"), F.col("c.n").alias("m")), "jaccard-centres")
         both = postings.join(centres, "token").where("a <> sig").where(_sizes("n", "m"))
-        return both.select("a", F.col("sig").alias("b")).distinct()
+        return _shared_enough(both.select("a", F.col("sig").alias("b"), "n", "m"))
 
     def other_pairs(self, postings: DataFrame, labels: DataFrame) -> DataFrame:
         """Pairs across components in groups that still hold several of them."""
@@ -295,7 +305,9 @@ class _Join:
         need = F.ceil((F.col("n") + F.col("m")) * PERCENT / (100 + PERCENT))
         reach = F.least("place", "q") + 1 + F.least(F.col("n") - F.col("place") - 1, F.col("m") - F.col("q") - 1)
         both = minor.join(rows, "token").where("comp <> own").where(_sizes("n", "m")).where(reach >= need)
-        return both.where("comp = main or a < sig").select("a", F.col("sig").alias("b")).distinct()
+        # Once for each shared token, whichever side is outside the main component there.
+        once = both.where("comp = main or a < sig").select(F.least("a", "sig").alias("a"), F.greatest("a", "sig").alias("b"), F.when(F.col("a") < F.col("sig"), F.col("m")).otherwise(F.col("n")).alias("m"), F.when(F.col("a") < F.col("sig"), F.col("n")).otherwise(F.col("m")).alias("n"))
+        return _shared_enough(once)
 
     def result(self) -> DataFrame:
         postings = self.postings()
@@ -312,6 +324,19 @@ def _sizes(n: str, m: str):
     return 100 * F.least(n, m) >= PERCENT * F.greatest(n, m)
 
 
+def _shared_enough(rows: DataFrame) -> DataFrame:
+    """Pairs (a, b) that share enough prefix tokens; a row for each token shared.
+
+    Of two sets, let x be the one whose prefix ends first in the order. Every common token
+    that is not in both prefixes is behind x's prefix, so the overlap is at most the shared prefix
+    tokens and ceil(t |x|) - 1 more. Main pairs may count too few tokens; those left out for it
+    stay in different components and are met again as other pairs, with full counts.
+    """
+    behind = F.floor((PERCENT * F.greatest("n", "m") + 99) / 100) - 1
+    need = F.ceil((F.col("n") + F.col("m")) * PERCENT / (100 + PERCENT))
+    return rows.groupBy("a", "b", "n", "m").agg(F.count("*").alias("shared")).where(F.col("shared") + behind >= need).select("a", "b")
+
+
 def join(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, n_shingles, component_id`` of each row of ``df``.
 

@@ -7,6 +7,7 @@ them back cuts the lineage, so a lost executor never makes an operator recompute
 from __future__ import annotations
 
 import contextlib
+import gc
 import tempfile
 import uuid
 
@@ -36,6 +37,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of the shuffle files of finished steps.
+
+    Executors delete them only once the driver's JVM has collected their handles, which a driver
+    with little to do may not do for half an hour. Steps that end in a stored table need none.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def discard(spark: SparkSession, path: str) -> None:
     """Delete a folder of :func:`shared_folder` through Hadoop, if it is there."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
