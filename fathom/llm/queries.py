@@ -80,6 +80,22 @@ def op10_token_files(spark, sf_dir):
 QUERIES = {"op1_toxicity": op1_toxicity, "op2_bpe": op2_bpe, "op3_pii": op3_pii, "op4_licenses": op4_licenses, "op5_embeddings": op5_embeddings, "op6_decontamination": op6_decontamination, "op7_warc": op7_warc, "op8_language": op8_language, "op9_jaccard": op9_jaccard, "op10_token_files": op10_token_files}
 ORACLE_SQL: dict[str, str] = {
     "op4_licenses": licenses.oracle_sql(),
+    "op5_embeddings": """
+    WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+    good AS (SELECT * FROM v WHERE e IS NOT NULL AND len(e) > 0 AND len([x FOR x IN e IF x IS NULL OR NOT isfinite(x)]) = 0 AND list_sum([abs(x) FOR x IN e]) > 0),
+    links AS (SELECT a.vec_id AS x, b.vec_id AS y FROM good a JOIN good b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.95),
+    reach(x, c) AS (SELECT vec_id, vec_id FROM v UNION SELECT l.y, r.c FROM reach r JOIN links l ON l.x = r.x),
+    least AS (SELECT x AS vec_id, min(c) AS component_id FROM reach GROUP BY 1),
+    degree AS (SELECT x AS vec_id, count(*) AS n FROM links GROUP BY 1)
+    SELECT v.vec_id, coalesce(d.n, 0) AS n_links, c.component_id, v.vec_id = c.component_id AS kept FROM v JOIN least c USING (vec_id) LEFT JOIN degree d USING (vec_id)""",
+    "op9_jaccard": """
+    WITH RECURSIVE w AS (SELECT doc_id, [x FOR x IN regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+') IF x <> ''] AS ws FROM documents),
+    s AS (SELECT doc_id, CASE WHEN len(ws) >= 5 THEN list_distinct([array_to_string(ws[i : i + 4], ' ') FOR i IN range(1, len(ws) - 3)]) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END AS sh FROM w),
+    e AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS g FROM s),
+    links AS (SELECT a.doc_id AS x, b.doc_id AS y FROM e a JOIN e b USING (g) WHERE a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+    reach(x, c) AS (SELECT doc_id, doc_id FROM s UNION SELECT l.y, r.c FROM reach r JOIN links l ON l.x = r.x),
+    least AS (SELECT x AS doc_id, min(c) AS component_id FROM reach GROUP BY 1)
+    SELECT doc_id, len(sh) AS n_shingles, component_id FROM s JOIN least USING (doc_id)""",
     "op7_warc": """
     WITH rows AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
     sized AS (SELECT page_id, octet_length(body)::BIGINT AS payload_bytes, sha1(body) AS payload_digest FROM rows),
