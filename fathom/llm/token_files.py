@@ -82,13 +82,12 @@ def _encoder(path: str) -> PieceEncoder:
     return PieceEncoder(path)
 
 
-def _write_shard(batches, shard: int, folder: str, tokenizer: str, end_id: int):
+def _write_shard(batches, shard: int, path: str, tokenizer: str, end_id: int):
     """Write one task's rows to its data and index file; yield the row that describes them."""
     first = next((b for b in batches if b.num_rows), None)
     if first is None:
         return
     encoder = _encoder(tokenizer)
-    path = f"{folder}/ids-{shard:06d}.bin"
     kind = np.dtype("<u2" if encoder.width == 2 and end_id < 1 << 16 else "<u4")
     rows = []
     offset, before = HEADER.size, 0
@@ -118,14 +117,17 @@ def write(df: DataFrame, folder: str, tokenizer: str, end_id: int, doc_id: str =
     Rows are dealt by ranges of doc_id and sorted, so file number order is doc_id order; rows of
     one doc_id follow each other (ties: by text), null ids come first and are stored as the
     least 64-bit integer. A null or empty text has only the end id. Returns one row a file:
-    ``shard, path, n_docs, n_tokens``, as a written table; an empty table gives no file.
+    ``shard, path, n_docs, n_tokens``, as a written table; an empty table gives no file. Files
+    carry the number of the task attempt, so a doubled attempt leaves files that nothing names.
     """
     sorted_rows = df.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(-(2**63))).alias("doc_id"), F.col(text).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
 
     def run(batches):
         from pyspark import TaskContext
 
-        yield from _write_shard(batches, TaskContext.get().partitionId(), folder, tokenizer, end_id)
+        context = TaskContext.get()
+        path = f"{folder}/ids-{context.partitionId():06d}-{context.taskAttemptId()}.bin"
+        yield from _write_shard(batches, context.partitionId(), path, tokenizer, end_id)
 
     return stored(sorted_rows.mapInArrow(run, "shard int, path string, n_docs long, n_tokens long"), "shards")
 
