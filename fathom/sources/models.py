@@ -13,15 +13,12 @@ VERSION = 1
 def _portable(model) -> dict:
     import numpy as np
 
-    from ..plans.design import Factor
-
     design = model.design_
     factors = {id(f): f for _, fs, _ in design.terms for f in fs}
     state = {k: v for k, v in vars(model).items() if k not in ("design_", "_args") and isinstance(v, (str, int, float, bool, list, tuple, dict, type(None), np.ndarray))}
     order = list(factors)
     listed = [{"name": f.name, "source": _sql(f.source), "columns": [(n, _sql(c)) for n, c in f.columns], "levels": f.levels, "missing": f.missing, "method": f.method} for f in factors.values()]
     terms = [(t, [order.index(id(f)) for f in fs], list(r)) for t, fs, r in design.terms]
-    assert Factor is not None
     return {"version": VERSION, "class": type(model).__name__, "state": state, "factors": listed, "terms": terms, "design": (design.interaction, design.format, design.missing_name), "family": model.family_instance_, "link": model.link_instance_}
 
 
