@@ -145,7 +145,16 @@ class GeneralizedLinearRegressor:
         anything = bad("y") | bad("w") | bad("o")
         for v in values:
             anything = anything | bad(v)
-        got = moments.profile(table, {"bad": F.max(anything), "least_w": F.min("w"), "sum_w": F.sum("w"), "outside": F.max(~self.family_instance_.in_y_range(F.col("y"))), "n": F.count("*")})
+        # The same job gives the dense columns' means, about which the moments are taken later.
+        places, at = {}, 0
+        for value, code, size in layout:
+            if code is None:
+                places[at] = value
+            at += size
+        means = {f"mean_{k}": F.try_divide(F.sum(F.col("w") * F.col(v)), F.sum("w")) for k, v in places.items()} if len(places) <= 100 else {}
+        used = F.when(F.col("w") > 0, F.col("y"))
+        got = moments.profile(table, {"bad": F.max(anything), "least_w": F.min("w"), "sum_w": F.sum("w"), "outside": F.max(~self.family_instance_.in_y_range(F.col("y"))), "n": F.count("*"), "low": F.min(used), "high": F.max(used), **means})
+        self._profile = {"constant": got["low"] == got["high"], "centres": {k: got[f"mean_{k}"] for k in places} if means or not places else None}
         if not got["n"]:
             raise ValueError("Found array with 0 sample(s) while a minimum of 1 is required.")
         if got["bad"]:
@@ -246,15 +255,21 @@ class GeneralizedLinearRegressor:
         return float(link.link(mean)) - o if link != IdentityLink() else float(mean) - o
 
     def _moments(self, coded, folds=0) -> list[dict]:
-        out = moments.column_moments(coded, 0)
+        known = getattr(self, "_profile", None) if self.check_input else None
         if self.fit_intercept:
-            coded.centres = out[0]["mean"]
-            out = moments.column_moments(coded, folds)  # the second moments about the means
-        elif folds:
-            out = moments.column_moments(coded, folds)
+            coded.centres = np.zeros(coded.width)
+            if known and known["centres"] is not None:
+                for place, mean in known["centres"].items():
+                    coded.centres[place] = mean
+            else:
+                coded.centres = moments.column_moments(coded, 0)[0]["mean"]
+        out = moments.column_moments(coded, folds)  # the second moments about the means
+        out[0]["mean"][coded.dense_places()] = coded.centres[coded.dense_places()] if self.fit_intercept else out[0]["mean"][coded.dense_places()]
         if not isinstance(self.link_instance_, IdentityLink):
-            row = coded.table.where("w > 0").agg(F.min("y"), F.max("y")).first()
-            out[0]["constant"] = row[0] == row[1]
+            if known is None:
+                row = coded.table.where("w > 0").agg(F.min("y"), F.max("y")).first()
+                known = {"constant": row[0] == row[1]}
+            out[0]["constant"] = known["constant"]
         return out
 
     # -- fit ---------------------------------------------------------------------------
