@@ -148,10 +148,10 @@ def test_pii_base_spans_equal_plain_patterns(spark, empty):
 
 
 def test_pii_disclosing_terms_and_redaction(spark):
-    texts = [f"colour number{k} Zorbanek writes from zed@mail.example today item{k}" for k in range(4)] + [f"plain today writes colour {k}" for k in range(10)]
+    texts = [f"Zorbanek {a} from zed@mail.example {b} today" for a, b in zip(("wrote", "asked", "called", "phoned"), ("about", "again", "with", "after"))] + [f"plain today writes from colour {k}" for k in range(10)]
     df = spark.createDataFrame([*enumerate(texts), (99, None)], "doc_id long, text string")
     rows = {r.doc_id: r for r in pii.redact(pii.find(df)).collect()}
-    assert [t.value for t in rows[0].term] == ["Zorbanek", "from"] or "Zorbanek" in [t.value for t in rows[0].term]
+    assert [t.value for t in rows[0].term] == ["Zorbanek"]
     assert "[EMAIL]" in rows[0].text and "Zorbanek" not in rows[0].text and "[TERM]" in rows[0].text
     assert rows[5].text == texts[5] and rows[99].text is None
 
