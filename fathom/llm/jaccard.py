@@ -6,10 +6,11 @@
    by hash). Two sets with Jaccard of at least t share a shingle among the first
    n - ceil(t n) + 1 of each, so one row for each such shingle is dealt by shingle; those
    that no other set has are dropped. The order decides the cost, never the result.
-3. Sets that share a prefix shingle are compared in two steps. First each with one set of its
-   group; links found so are joined to components. Then, for groups that still hold several
-   components, every set outside the group's main component with every set of another one.
-   A pair left out is in one component already, so no link that matters is lost.
+3. Sets that share a prefix shingle are compared in rounds. First each with the most typical set
+   of its group; links found so are joined to components, and these are compared likewise. Then,
+   for groups that still hold several components, every set outside the group's main component
+   with every set of another one that it can reach. A pair left out is in one component already,
+   so no link that matters is lost.
 4. Comparisons run in blocks: the candidates of a set form a prefix tree (sorted sets with common
    prefixes), walked once with partial overlaps shared along prefixes; a subtree is left as soon
    as its overlap and the remaining length cannot reach the bound.
@@ -36,6 +37,8 @@ REPORT, FREQUENT = 3, 200_000
 DEAL_ROWS = 1000
 #: Up to so many documents to compare, their ids are broadcast to the scan that fetches the texts.
 BROADCAST_IDS = 400_000
+#: Rounds of comparisons with typical sets before the remaining pairs are compared one by one.
+ROUNDS = 2
 #: Candidates in one prefix tree, and tasks that the candidates of one set are dealt to.
 BLOCK, DEALT = 256, 64
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -288,32 +291,60 @@ class _Join:
         first = self.first.select(F.col("sig").alias("a"), F.col("doc").alias("_a")), self.first.select(F.col("sig").alias("b"), F.col("doc").alias("_b"))
         return stored(found.join(first[0], "a").join(first[1], "b").select(F.col("_a").alias("a"), F.col("_b").alias("b")), "jaccard-links")
 
-    def main_pairs(self, postings: DataFrame) -> DataFrame:
-        """Each set of a shingle's group with the group's least signature."""
-        centres = stored(postings.groupBy("token").agg(F.min_by(F.struct("sig", "n"), "sig").alias("c")).select("token", F.col("c.sig").alias("a"), F.col("c.n").alias("m")), "jaccard-centres")
-        both = postings.join(centres, "token").where("a <> sig").where(_sizes("n", "m"))
-        return _shared_enough(both.select("a", F.col("sig").alias("b"), "n", "m"))
-
-    def other_pairs(self, postings: DataFrame, labels: DataFrame) -> DataFrame:
-        """Pairs across components in groups that still hold several of them."""
-        of = stored(self.first.join(labels, F.col("doc") == F.col("id"), "left").select("sig", F.coalesce("component", "doc").alias("comp")), "jaccard-comps")
-        placed = stored(postings.join(of, "sig"), "jaccard-placed")
+    def ranked(self, postings: DataFrame) -> DataFrame:
+        """Postings with ``pop``: how common the prefix shingles of a set are among all sets.
+
+        Of a group of near copies the one with the fewest own words has the most common ones, and
+        is most likely to reach the bound with the others.
+        """
+        seen = stored(postings.groupBy("token").agg(F.count("*").alias("seen")), "jaccard-seen")
+        size = F.first("n") - F.floor((PERCENT * F.first("n") + 99) / 100) + 1
+        pop = stored(postings.join(seen, "token").groupBy("sig").agg((F.sum(F.log2("seen")) / size).alias("pop")), "jaccard-popularity")
+        return stored(postings.join(pop, "sig"), "jaccard-ranked")
+
+    def placed(self, ranked: DataFrame, labels: DataFrame | None) -> DataFrame:
+        """Rows with ``comp``, the component of the set: at first each set its own."""
+        if labels is None:
+            return ranked.withColumn("comp", F.col("sig"))
+        of = self.first.join(labels, F.col("doc") == F.col("id"), "left").select("sig", F.coalesce("component", "doc").alias("comp"))
+        return stored(ranked.join(stored(of, "jaccard-comps"), "sig"), "jaccard-placed")
+
+    def main_pairs(self, placed: DataFrame) -> DataFrame:
+        """The most common set of each component in a shingle's group with that of the whole group."""
+        best = F.max_by(F.struct("sig", "n", "comp"), F.struct("pop", "sig"))
+        centres = stored(placed.groupBy("token").agg(best.alias("c")).select("token", F.col("c.sig").alias("a"), F.col("c.n").alias("m"), F.col("c.comp").alias("own")), "jaccard-centres")
+        each = stored(placed.groupBy("token", "comp").agg(F.max_by(F.struct("sig", "n"), F.struct("pop", "sig")).alias("r")).select("token", "comp", F.col("r.sig").alias("b"), F.col("r.n").alias("n")), "jaccard-each")
+        both = each.join(centres, "token").where("comp <> own").where(_sizes("n", "m"))
+        return _shared_enough(both.select("a", "b", "n", "m"))
+
+    def other_pairs(self, placed: DataFrame) -> DataFrame:
+        """Pairs across components in groups that still hold several of them.
+
+        It is enough to meet at the first shingle that both sets have. With places p and q there,
+        the overlap is at most 1 and what is left of the shorter rest, so rows far behind in a
+        prefix meet only much shorter partners.
+        """
         sizes = placed.groupBy("token", "comp").agg(F.count("*").alias("size"))
         open_ = stored(sizes.groupBy("token").agg(F.max_by("comp", F.struct("size", "comp")).alias("main"), F.count("*").alias("several")).where("several > 1").select("token", "main"), "jaccard-open")
-        rows = stored(placed.join(open_, "token"), "jaccard-open-rows")
+        rows = stored(placed.join(open_, "token").select("token", "sig", "n", "place", "comp", "main"), "jaccard-open-rows")
         minor = rows.where("comp <> main").select("token", F.col("sig").alias("a"), F.col("n").alias("m"), F.col("place").alias("q"), F.col("comp").alias("own"))
         need = F.ceil((F.col("n") + F.col("m")) * PERCENT / (100 + PERCENT))
-        reach = F.least("place", "q") + 1 + F.least(F.col("n") - F.col("place") - 1, F.col("m") - F.col("q") - 1)
-        both = minor.join(rows, "token").where("comp <> own").where(_sizes("n", "m")).where(reach >= need)
-        # Once for each shared token, whichever side is outside the main component there.
-        once = both.where("comp = main or a < sig").select(F.least("a", "sig").alias("a"), F.greatest("a", "sig").alias("b"), F.when(F.col("a") < F.col("sig"), F.col("m")).otherwise(F.col("n")).alias("m"), F.when(F.col("a") < F.col("sig"), F.col("n")).otherwise(F.col("m")).alias("n"))
-        return _shared_enough(once)
+        reach = 1 + F.least(F.col("n") - F.col("place") - 1, F.col("m") - F.col("q") - 1)
+        both = minor.join(rows, "token").where("comp <> own and (comp = main or a < sig)").where(_sizes("n", "m")).where(reach >= need)
+        return both.select(F.least("a", "sig").alias("a"), F.greatest("a", "sig").alias("b")).distinct()
 
     def result(self) -> DataFrame:
-        postings = self.postings()
-        links = self.linked(self.main_pairs(postings))
-        labels = components(links)
-        more = self.linked(self.other_pairs(postings, labels))
+        ranked = self.ranked(self.postings())
+        links = labels = tried = None
+        placed = self.placed(ranked, None)
+        for _ in range(ROUNDS):
+            pairs = stored(self.main_pairs(placed), "jaccard-main")
+            new = pairs if tried is None else stored(pairs.join(tried, ["a", "b"], "left_anti"), "jaccard-new")
+            found = self.linked(new)
+            links, tried = (found, pairs) if links is None else (links.union(found), tried.union(pairs))
+            labels = components(links)
+            placed = self.placed(ranked, labels)
+        more = self.linked(self.other_pairs(placed))
         if more.limit(1).count():
             labels = components(links.union(more))
         of = stored(self.first.join(labels, F.col("doc") == F.col("id"), "left").select("sig", F.coalesce("component", "doc").alias("component_id")), "jaccard-components")
@@ -329,8 +360,8 @@ def _shared_enough(rows: DataFrame) -> DataFrame:
 
     Of two sets, let x be the one whose prefix ends first in the order. Every common token
     that is not in both prefixes is behind x's prefix, so the overlap is at most the shared prefix
-    tokens and ceil(t |x|) - 1 more. Main pairs may count too few tokens; those left out for it
-    stay in different components and are met again as other pairs, with full counts.
+    tokens and ceil(t |x|) - 1 more. Rows of main pairs may be too few, since a set is not the
+    typical one of all groups it shares; pairs left out for it are met again as other pairs.
     """
     behind = F.floor((PERCENT * F.greatest("n", "m") + 99) / 100) - 1
     need = F.ceil((F.col("n") + F.col("m")) * PERCENT / (100 + PERCENT))
