@@ -3,8 +3,8 @@
 A CGK walk reads a string through random bits: at each step it writes the current character and
 moves on or not, by a bit that depends on step and character. Strings at small edit distance
 fall back into step, so most written places agree. Each repeat samples a few places of a walk as
-a key; a window of a document whose key equals an item's in any repeat is checked by exact edit
-distance. Windows start at words and have the items' sizes, in a few classes of length.
+a key; windows of a document whose keys equal an item's in two repeats or more are checked by
+exact edit distance, near ones together. Windows start at words and have the items' sizes, in a few classes of length.
 
 Only windows that could pass are walked: enough of the first long words from the start must be
 words of the benchmark (``GATES``; none are needed if an item has fewer long words itself). A
@@ -27,6 +27,8 @@ from .arrow import add_columns
 #: An item is in a text if a passage is within this share of its length in edits.
 DISTANCE = 0.2
 WALKS, REPEATS, PLACES = 3, 60, 6
+#: Repeats, at starts near each other, in which a passage must meet an item to be checked.
+AGREE = 2
 #: Steps of a walk that are sampled, by the least length of the class; the walk ends a string after twice its length on average.
 STEPS = 1.7
 GROWTH = 1.5
@@ -145,7 +147,7 @@ class Index:
         place = np.searchsorted(docs, owner[at])
         starts = starts_at[at] - starts_at[offsets[owner[at]]] + doc_starts[place]
         keys = self.keys(chars, starts)
-        pairs = set()
+        hits: dict[tuple[int, int], list[int]] = {}
         tables = iter(self.tables)
         for c, (_, samples) in enumerate(self.classes):
             for r in range(len(samples)):
@@ -153,16 +155,13 @@ class Index:
                 low, high = np.searchsorted(have, keys[c][r], "left"), np.searchsorted(have, keys[c][r], "right")
                 for k in np.flatnonzero(high > low).tolist():
                     for item in items[low[k] : high[k]].tolist():
-                        pairs.add((int(place[k]), item, int(starts[k] - doc_starts[place[k]])))
-        for doc, item, start in sorted(pairs):
-            hit, wanted = out[docs[doc]], self.texts[item]
+                        hits.setdefault((int(place[k]), item), []).append(int(starts[k] - doc_starts[place[k]]))
+        for (doc, item), begins in hits.items():
+            wanted = self.texts[item]
             most = int(DISTANCE * len(wanted))
-            if hit.get(self.ids[item], most + 1) == 0:
-                continue
-            begin = max(0, start - most)
-            distance, _ = edit_distance(wanted, kept[doc][begin : start + len(wanted) + most])
-            if distance <= min(most, hit.get(self.ids[item], most)):
-                hit[self.ids[item]] = distance
+            best = min((edit_distance(wanted, kept[doc][max(0, low - most) : high + len(wanted) + most])[0] for low, high in _spans(sorted(begins), most)), default=most + 1)
+            if best <= most:
+                out[docs[doc]][self.ids[item]] = best
         return out
 
     @staticmethod
@@ -181,6 +180,19 @@ class Index:
         return out
 
 
+def _spans(begins: list[int], gap: int):
+    """First and last start of each run of starts at most ``gap`` apart that holds AGREE hits or more."""
+    first, last, hits = begins[0], begins[0], 0
+    for b in [*begins, None]:
+        if b is None or b - last > gap:
+            if hits >= AGREE:
+                yield first, last
+            if b is None:
+                return
+            first, hits = b, 0
+        last, hits = b, hits + 1
+
+
 def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Letters of all texts in a row, each closed by a 0, and where each text starts."""
     points = np.frombuffer("\n".join([*texts, "\n"]).encode("utf-32-le", "surrogatepass"), np.uint32)
