@@ -108,7 +108,10 @@ def disclosing_terms(docs: DataFrame, near: DataFrame) -> DataFrame | None:
     pairs = near.select("doc_id", "entity", F.xxhash64("words").alias("around"), F.explode("words").alias("term"))
     places = pairs.select("entity", "term", "around").distinct().groupBy("entity", "term").count().where(F.col("count") >= SUPPORT)
     documents = pairs.select("entity", "term", "doc_id").distinct().groupBy("entity", "term").agg(F.count("*").alias("with_entity"))
-    candidates = stored(documents.join(places.select("entity", "term"), ["entity", "term"], "left_semi"), "pii-candidates")
+    # A word is in at least as many documents as have it near an entity: most candidates fail here already.
+    near_any = pairs.select("term", "doc_id").distinct().groupBy("term").agg(F.count("*").alias("near_any"))
+    supported = documents.join(places.select("entity", "term"), ["entity", "term"], "left_semi")
+    candidates = stored(supported.join(near_any, "term").where(F.col("with_entity") >= DISCLOSURE * F.col("near_any")).drop("near_any"), "pii-candidates")
     rows = candidates.count()
     if not rows:
         return None
