@@ -331,7 +331,14 @@ class _Join:
         need = F.ceil((F.col("n") + F.col("m")) * PERCENT / (100 + PERCENT))
         reach = 1 + F.least(F.col("n") - F.col("place") - 1, F.col("m") - F.col("q") - 1)
         both = minor.join(rows, "token").where("comp <> own and (comp = main or a < sig)").where(_sizes("n", "m")).where(reach >= need)
-        return both.select(F.least("a", "sig").alias("a"), F.greatest("a", "sig").alias("b")).distinct()
+        pairs = stored(both.select(F.least("a", "sig").alias("a"), F.greatest("a", "sig").alias("b")).distinct(), "jaccard-reached")
+        release(self.spark)
+        # All prefix shingles that sets of different components share are in open groups, so the
+        # sets' own lists of them tell how many a pair shares.
+        own = stored(rows.groupBy("sig", "n").agg(F.collect_set("token").alias("tokens")), "jaccard-own")
+        sides = [own.select(F.col("sig").alias(k), F.col("n").alias(f"n_{k}"), F.col("tokens").alias(f"t_{k}")) for k in "ab"]
+        shared = F.size(F.array_intersect("t_a", "t_b"))
+        return pairs.join(sides[0], "a").join(sides[1], "b").where(_enough(shared, F.col("n_a"), F.col("n_b"))).select("a", "b")
 
     def result(self) -> DataFrame:
         ranked = self.ranked(self.postings())
@@ -363,9 +370,13 @@ def _shared_enough(rows: DataFrame) -> DataFrame:
     tokens and ceil(t |x|) - 1 more. Rows of main pairs may be too few, since a set is not the
     typical one of all groups it shares; pairs left out for it are met again as other pairs.
     """
-    behind = F.floor((PERCENT * F.greatest("n", "m") + 99) / 100) - 1
-    need = F.ceil((F.col("n") + F.col("m")) * PERCENT / (100 + PERCENT))
-    return rows.groupBy("a", "b", "n", "m").agg(F.count("*").alias("shared")).where(F.col("shared") + behind >= need).select("a", "b")
+    counted = rows.groupBy("a", "b", "n", "m").agg(F.count("*").alias("shared"))
+    return counted.where(_enough(F.col("shared"), F.col("n"), F.col("m"))).select("a", "b")
+
+
+def _enough(shared, n, m):
+    behind = F.floor((PERCENT * F.greatest(n, m) + 99) / 100) - 1
+    return shared + behind >= F.ceil((n + m) * PERCENT / (100 + PERCENT))
 
 
 def join(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
