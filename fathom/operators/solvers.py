@@ -203,13 +203,15 @@ def irls(problem: Problem, start: np.ndarray, inner: str):
             step = _solve(h, score) if p.space.intercept else np.concatenate([[0.0], _solve(h[1:, 1:], score[1:])])
         gain = -score @ step + p.p1 @ (np.abs((beta + step)[1:]) - np.abs(beta[1:]))
         factor, tries, scale = None, 0, 1.0
+        # From a point that breaks a constraint the way back may raise the objective.
+        restoring = inner == "qp" and bool((p.a @ beta[1:] > p.b + 1e-12).any())
         while factor is None and tries < 20:
             factors = [scale * f for f in STEPS]
             tried = (yield [p.ask([beta + f * step for f in factors])])[0]
             for k, f in enumerate(factors):
                 tries += 1
                 change = p.objective(tried.deviances[k], beta + f * step) - objective
-                if tried.largest[k] == 0 and (change <= f * 1e-4 * gain or abs(change) <= 16 * EPS * max(abs(objective), 1.0)):
+                if tried.largest[k] == 0 and (restoring or change <= f * 1e-4 * gain or abs(change) <= 16 * EPS * max(abs(objective), 1.0)):
                     factor = f
                     break
             scale *= 1 / 16
