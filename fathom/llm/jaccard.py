@@ -133,8 +133,12 @@ class _Order:
         return found, frequency
 
 
-def _prefixes(batches, order: _Order):
-    """Rows (dealt, token, signature, n, place) of the prefixes of distinct sets of a batch."""
+def _prefixes(batches, order: _Order, deal_rows: int):
+    """Rows (dealt, token, signature, n, place) of the prefixes of distinct sets of a batch.
+
+    Whether a token's rows are dealt to several tasks depends on its frequency alone, so it is
+    the same in every set: ``dealt`` is the token itself below ``deal_rows``, never from there.
+    """
     for batch in batches:
         for part in slices(batch, "text", 24 << 20):
             columns: list[list[np.ndarray]] = [[], [], [], [], []]
@@ -148,8 +152,9 @@ def _prefixes(batches, order: _Order):
                 tokens, frequency = order.ordered(found)
                 size = n - (PERCENT * n + 99) // 100 + 1
                 tokens, frequency = tokens[:size], frequency[:size]
-                salts = np.uint64(signature & 0xFFFF) % (frequency // DEAL_ROWS + 1).astype(np.uint64)
-                for column, values in zip(columns, (_mixed(tokens + salts * _SPREAD) if salts.any() else tokens, tokens, np.full(size, signature), np.full(size, n), np.arange(size))):
+                salts = np.uint64(signature & 0xFFFF) % (frequency // deal_rows + 1).astype(np.uint64)
+                dealt = np.where(frequency >= deal_rows, _mixed(tokens + salts * _SPREAD), tokens)
+                for column, values in zip(columns, (dealt, tokens, np.full(size, signature), np.full(size, n), np.arange(size))):
                     column.append(values.view(np.int64) if values.dtype == np.uint64 else values.astype(np.int64))
             if done:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in columns], ["dealt", "token", "sig", "n", "place"])
@@ -257,10 +262,10 @@ class _Join:
 
     def postings(self) -> DataFrame:
         """``token, sig, n, place`` of prefix shingles that several sets have."""
-        order = self.order
+        order, deal_rows = self.order, DEAL_ROWS
 
         def prefixes(batches):
-            yield from _prefixes(batches, _Order(*order.value))
+            yield from _prefixes(batches, _Order(*order.value), deal_rows)
 
         rows = self.docs.select("text").mapInArrow(prefixes, "dealt long, token long, sig long, n long, place long")
         dealt = rows.repartition("dealt").sortWithinPartitions("dealt", "sig")

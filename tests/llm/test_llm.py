@@ -240,6 +240,35 @@ def test_jaccard_equals_brute_force(spark, docs, empty):
     assert jaccard.join(docs).count() == len(TEXTS) + 2 and jaccard.join(empty).count() == 0
 
 
+@pytest.mark.parametrize("deal_rows", [2, 3])
+def test_jaccard_with_dealt_tokens_equals_brute_force(spark, monkeypatch, deal_rows):
+    """Sets that are mostly one frequent passage, some of them with salted tokens and some without, still meet at their rare ones."""
+    monkeypatch.setattr(jaccard, "DEAL_ROWS", deal_rows)
+    rng = np.random.default_rng(9)
+    passage = [f"p{k}" for k in range(100)]
+    texts = [" ".join(passage + [f"own{g}x{k}" for k in range(24)] + [f"n{g}y{c}z{k}" for k in range(c)]) for g in range(12) for c in range(3)]
+    texts += [" ".join(passage[: rng.integers(60, 100)]) for _ in range(6)]
+    sets = [_shingles(t) for t in texts]
+    label = list(range(len(texts)))
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+    for _ in texts:
+        for i, j in pairs:
+            label[i] = label[j] = min(label[i], label[j])
+    got = {r.doc_id: r.component_id for r in jaccard.join(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)).collect()}
+    assert [got[k] for k in range(len(texts))] == label
+
+    batch = pa.RecordBatch.from_pydict({"text": texts})
+    hashes = jaccard.shingle_sets(pa.array(texts))
+    tokens, seen = np.unique(np.concatenate(hashes), return_counts=True)
+    rows = pa.Table.from_batches(jaccard._prefixes([batch], jaccard._Order(tokens[seen >= jaccard.REPORT], seen[seen >= jaccard.REPORT]), deal_rows)).sort_by([("dealt", "ascending"), ("sig", "ascending")])
+    made = set(zip(rows["token"].to_pylist(), rows["sig"].to_pylist()))
+    kept = {(t, g) for b in jaccard._repeated(rows.combine_chunks().to_batches()) for t, g in zip(b.column(0).to_pylist(), b.column(1).to_pylist())}
+    holders = {}
+    for t, g in made:
+        holders.setdefault(t, set()).add(g)
+    assert {(t, g) for t, g in made if len(holders[t]) > 1} <= kept
+
+
 def test_tree_join_prunes_nothing_that_links():
     rng = np.random.default_rng(4)
     for _ in range(200):
