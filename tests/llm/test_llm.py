@@ -299,6 +299,27 @@ def test_decontamination(spark, empty):
     assert decontam.find(docs, bench.where("false")).where("size(found) > 0").count() == 0 and decontam.find(empty, bench).count() == 0
 
 
+def _edited(rng, text, edits):
+    chars = list(text)
+    for _ in range(edits):
+        k, kind = rng.integers(0, len(chars)), rng.integers(0, 3)
+        chars[k : k + (kind != 1)] = [] if kind == 2 else ["abcdefghijklmnopqrstuvwxyz "[rng.integers(0, 27)]]
+    return "".join(chars)
+
+
+def test_decontamination_recall_at_its_own_distance():
+    """Passages with as many random edits as DISTANCE admits, of mixed kinds, are found."""
+    rng = np.random.default_rng(12)
+    vocabulary = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), rng.integers(2, 10))) for _ in range(800)]
+    items = [" ".join(vocabulary[k] for k in rng.integers(0, 800, n)) for n in rng.integers(15, 60, 60)]
+    texts = [_edited(rng, t, int(decontam.DISTANCE * len(t))) for t in items]
+    index = decontam.Index(tuple(range(60)), tuple(items))
+    index.gates = ()  # the keys alone
+    got = index.found(decontam.normalised(pa.array(texts)))
+    want = [decontam.edit_distance(t, decontam.normalised(pa.array([x]))[0].as_py())[0] <= decontam.DISTANCE * len(t) for t, x in zip(items, texts)]
+    assert sum(w and k in g for k, (w, g) in enumerate(zip(want, got))) >= 0.9 * sum(want) > 50
+
+
 def test_edit_distance():
     assert decontam.edit_distance("kitten", "xx sitting xx")[0] == 2
     assert decontam.edit_distance("abc", "abc") == (0, 3) and decontam.edit_distance("abc", "")[0] == 3
