@@ -6,9 +6,8 @@ fall back into step, so most written places agree. Each repeat samples a few pla
 a key; windows of a document with a key equal to an item's in one repeat are checked by exact
 edit distance, near ones together. Windows start at words and have the items' sizes, in a few classes of length.
 
-Only windows that could pass are walked: enough of the first long words from the start must be
-words of the benchmark (``GATES``; none are needed if an item has fewer long words itself). A
-passage within the distance bound misses this only if its edits hit most of these words.
+Every window is walked: noise of a few characters can change all words of a passage, so no count
+of exact words says that a window cannot pass.
 """
 
 from __future__ import annotations
@@ -33,9 +32,6 @@ WINDOWS = 4096
 #: Steps of a walk that are sampled, by the least length of the class; the walk ends a string after twice its length on average.
 STEPS = 1.7
 GROWTH = 1.5
-LONG_WORD = 5
-#: A window is walked if, of the next so many long words, so many are words of the benchmark.
-GATES = ((10, 5), (5, 4))
 #: Characters of the benchmark that a pass over the documents holds; a larger one takes several passes.
 PASS_CHARS = 16 << 20
 _LETTERS = 64
@@ -81,10 +77,6 @@ class Index:
     def __init__(self, ids: tuple[int, ...], texts: tuple[str, ...]):
         self.ids, self.texts = ids, texts
         lengths = np.array([len(t) for t in texts])
-        words = [t.split(" ") for t in texts]
-        self.words = {w for ws in words for w in ws if len(w) >= LONG_WORD}
-        least = min(sum(len(w) >= LONG_WORD for w in ws) for ws in words)
-        self.gates = GATES if least >= GATES[-1][1] else ()
         random = np.random.default_rng(61)
         kinds = np.floor(np.log(lengths) / np.log(GROWTH)).astype(int)
         self.classes = []
@@ -139,12 +131,8 @@ class Index:
         sizes = np.array([len(v) for v in values])[codes]
         offsets = lists.offsets.to_numpy().astype(np.int64) - lists.offsets[0].as_py()
         owner = np.repeat(np.arange(n), np.diff(offsets))
-        known = np.array([v in self.words for v in values])[codes]
-        passed = np.full(len(codes), not self.gates)
-        for words, need in self.gates:
-            passed |= self._gated(np.flatnonzero(sizes >= LONG_WORD), known, owner, words, need)
         starts_at = np.concatenate([[0], np.cumsum(sizes + 1)])[:-1]
-        at = np.flatnonzero(passed & (sizes > 0))
+        at = np.flatnonzero(sizes > 0)
         if not len(at):
             return out
         docs = np.unique(owner[at])
@@ -172,21 +160,6 @@ class Index:
                 out[docs[doc]][self.ids[item]] = best
         return out
 
-    @staticmethod
-    def _gated(long: np.ndarray, known: np.ndarray, owner: np.ndarray, words: int, need: int) -> np.ndarray:
-        """Which words have ``need`` known ones among the next ``words`` long words of their text."""
-        out = np.zeros(len(owner), bool)
-        if not len(long):
-            return out
-        total = np.concatenate([[0], np.cumsum(known[long])])
-        last = np.searchsorted(owner[long], np.arange(owner[-1] + 1), "right")  # of each text
-        first = np.arange(len(long))
-        good = total[np.minimum(first + words, last[owner[long]])] - total[first] >= need
-        after = np.searchsorted(long, np.arange(len(owner)))
-        inside = np.flatnonzero(after < len(long))
-        out[inside] = good[after[inside]] & (owner[long[after[inside]]] == owner[inside])
-        return out
-
 
 def _spans(begins: list[int], gap: int):
     """First and last start of each run of starts at most ``gap`` apart."""

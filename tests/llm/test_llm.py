@@ -314,12 +314,20 @@ def test_decontamination_recall_at_its_own_distance():
     items = [" ".join(vocabulary[k] for k in rng.integers(0, 800, n)) for n in rng.integers(15, 60, 60)]
     texts = [_edited(rng, t, int(decontam.DISTANCE * len(t))) for t in items]
     index = decontam.Index(tuple(range(60)), tuple(items))
-    index.gates = ()  # the keys alone
     got = index.found(decontam.normalised(pa.array(texts)))
     want = [decontam.edit_distance(t, decontam.normalised(pa.array([x]))[0].as_py())[0] <= decontam.DISTANCE * len(t) for t, x in zip(items, texts)]
     assert sum(w and k in g for k, (w, g) in enumerate(zip(want, got))) >= 0.9 * sum(want) > 50
 
 
+def test_decontamination_finds_passages_without_one_exact_long_word():
+    rng = np.random.default_rng(13)
+    vocabulary = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), rng.integers(8, 12))) for _ in range(800)]
+    items = [" ".join(vocabulary[k] for k in rng.integers(0, 800, 20)) for _ in range(20)]
+    texts = [" ".join(w[:3] + "ü" + w[4:] for w in t.split(" ")) for t in items]
+    got = decontam.Index(tuple(range(20)), tuple(items)).found(pa.array(texts))
+    assert sum(k in g for k, g in enumerate(got)) >= 19
+
+
 def test_edit_distance():
     assert decontam.edit_distance("kitten", "xx sitting xx")[0] == 2
     assert decontam.edit_distance("abc", "abc") == (0, 3) and decontam.edit_distance("abc", "")[0] == 3
