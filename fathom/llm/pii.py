@@ -1,10 +1,10 @@
 """Personal data and the terms that give it away, with DataFrame functions only.
 
 Base kinds are found by patterns. The information-theoretic part then asks the corpus how
-strongly a word reveals an entity that the patterns found: for words near an entity it compares
-the documents that hold the word in such a place with all documents that hold the word. A word
-from which the entity follows with at least ``DISCLOSURE`` probability, in at least ``SUPPORT``
-different surroundings, is a span of kind ``term`` in the documents with that entity.
+strongly a word reveals an entity that the patterns found: it compares the documents that hold
+both with all documents that hold the word, anywhere in their texts outside personal data. A word
+from which an entity follows with at least ``DISCLOSURE`` probability, in at least ``SUPPORT``
+different texts, is a span of kind ``term`` in every document that holds it.
 
 Every pattern is written so that Java's matcher neither recurses nor restarts inside a run of
 characters that has already failed, so very long texts cost linear time; the matches are those
@@ -26,11 +26,13 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: A word is a run of at least four letters; of a text around an entity, so many characters and words count.
-WORD = r"\p{L}{4,}"
-AROUND_CHARS, AROUND_WORDS = 160, 3
+#: A word is a run of two or more letters, marks and digits; two or three Han characters in a row are words as well.
+WORD = r"[\p{L}\p{M}\p{N}]{2,}"
+HAN = r"(?=(\p{IsHan}{%d}))"
+#: What cannot be next to a term: scripts that do not part words have no such bound.
+BOUND = r"[[\p{L}\p{M}\p{N}]&&[^\p{IsHan}]]"
 SUPPORT, DISCLOSURE = 3, 0.5
-#: Disclosing candidates of at most so many rows are broadcast to the count over the corpus.
+#: Disclosing terms, and documents with some, of at most so many rows are broadcast.
 BROADCAST_ROWS = 50_000
 _SPANS = "array<struct<start:int,end:int,value:string>>"
 
@@ -86,67 +88,77 @@ def _named(kind: str):
     return lambda x: F.struct(F.concat(F.lit(f"{kind}:"), x["value"]).alias("entity"), x["start"].alias("start"), x["end"].alias("end"))
 
 
-def _entities(based: DataFrame) -> DataFrame:
-    """One row for each span of documents with personal data: id, entity, the words around it."""
-    kinds = F.flatten(F.array(*(F.transform(k, _named(k)) for k in PATTERNS)))
-    rows = based.select("doc_id", "text", F.explode(kinds).alias("s")).select("doc_id", "text", "s.*")
-    word = lambda c: F.regexp_extract_all(F.lower(c), F.lit(WORD), F.lit(0))
-    first = F.greatest(F.col("start") - AROUND_CHARS, F.lit(0))
-    left = word(F.substring("text", first + 1, F.col("start") - first))
-    right = word(F.substring("text", F.col("end") + 1, F.lit(AROUND_CHARS)))
-    words = F.concat(F.slice(left, F.greatest(F.size(left) - AROUND_WORDS + 1, F.lit(1)), F.lit(AROUND_WORDS)), F.slice(right, 1, AROUND_WORDS))
-    return rows.select("doc_id", "entity", words.alias("words"))
+def _outside(text: Column, spans: Column) -> Column:
+    """``text`` with a space for each of the spans, which are sorted by their starts."""
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+
+    def put(acc, x):
+        gap = F.substring(text, acc["at"] + 1, x["start"] - acc["at"])
+        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.when(x["start"] >= acc["at"], F.concat(acc["out"], gap, F.lit(" "))).otherwise(acc["out"]).alias("out"))
+
+    rest = F.aggregate(spans, start, put, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    return F.when(F.size(spans) > 0, rest).otherwise(text)
+
 
+def _words(text: Column) -> Column:
+    found = lambda p, group=0: F.regexp_extract_all(text, F.lit(p), F.lit(group))
+    han = F.concat(found(WORD), found(HAN % 2, 1), found(HAN % 3, 1))
+    return F.array_distinct(F.when(text.rlike(r"\p{IsHan}{2}"), han).otherwise(found(WORD)))
 
-def disclosing_terms(docs: DataFrame, near: DataFrame) -> DataFrame | None:
+
+def _vocabulary(plain: DataFrame) -> DataFrame:
+    """One row for each row of ``plain``: key, hash of the text, its entities, its words outside them."""
+    spans = F.array_sort(F.flatten(F.array(*(F.transform(k, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))) for k in PATTERNS))))
+    entities = F.flatten(F.array(*(F.transform(k, _named(k)) for k in PATTERNS)))
+    based = base_spans(plain).withColumn("_spans", spans)
+    return based.select(F.xxhash64("doc_id", "text").alias("key"), F.xxhash64("text").alias("copy"), F.array_distinct(F.transform(entities, lambda x: x["entity"])).alias("entities"), _words(F.lower(_outside(F.col("text"), F.col("_spans")))).alias("words"))
+
+
+def disclosing_terms(rows: DataFrame) -> DataFrame | None:
     """Pairs (entity, term) where the term gives the entity away; None if there are none.
 
-    ``near`` is a table of :func:`_entities`. Different surroundings are counted instead of
-    rows, so that copies of one document do not support a term; the share is over documents.
-    Candidates are few by construction; they are broadcast only if a count proves it.
+    ``rows`` is a table of :func:`_vocabulary`. Equal texts are counted together first, so that
+    copies of one document do not support a term and a frequent entity is no large group; the
+    share is over documents. A term is joined once with its best entity before its pairs are.
     """
-    pairs = near.select("doc_id", "entity", F.xxhash64("words").alias("around"), F.explode("words").alias("term"))
-    places = pairs.select("entity", "term", "around").distinct().groupBy("entity", "term").count().where(F.col("count") >= SUPPORT)
-    documents = pairs.select("entity", "term", "doc_id").distinct().groupBy("entity", "term").agg(F.count("*").alias("with_entity"))
-    # A word is in at least as many documents as have it near an entity: most candidates fail here already.
-    near_any = pairs.select("term", "doc_id").distinct().groupBy("term").agg(F.count("*").alias("near_any"))
-    supported = documents.join(places.select("entity", "term"), ["entity", "term"], "left_semi")
-    candidates = stored(supported.join(near_any, "term").where(F.col("with_entity") >= DISCLOSURE * F.col("near_any")).drop("near_any"), "pii-candidates")
-    rows = candidates.count()
-    if not rows:
-        return None
-    terms = candidates.select("term").distinct()
-    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)))).alias("term"))
-    if rows <= BROADCAST_ROWS:
-        counts = words.join(F.broadcast(terms), "term", "left_semi").groupBy("term").agg(F.count("*").alias("in_all"))
-    else:
-        counts = words.groupBy("term").agg(F.count("*").alias("in_all")).join(terms, "term", "left_semi")
-    found = candidates.join(counts, "term").where(F.col("with_entity") >= DISCLOSURE * F.col("in_all")).select("entity", "term")
-    out = stored(found, "pii-terms")
+    texts = rows.where("size(entities) > 0").groupBy("copy").agg(F.first("entities").alias("entities"), F.first("words").alias("words"), F.count("*").alias("copies"))
+    pairs = texts.select(F.explode("entities").alias("entity"), "words", "copies").select("entity", F.explode("words").alias("term"), "copies")
+    counted = pairs.groupBy("entity", "term").agg(F.count("*").alias("texts"), F.sum("copies").alias("with_entity"))
+    supported = stored(counted.where(F.col("texts") >= SUPPORT).drop("texts"), "pii-supported")
+    best = supported.groupBy("term").agg(F.max("with_entity").alias("most"))
+    counts = rows.select(F.explode("words").alias("term")).groupBy("term").agg(F.count("*").alias("in_all"))
+    terms = stored(best.join(counts, "term").where(F.col("most") >= DISCLOSURE * F.col("in_all")).select("term", "in_all"), "pii-terms")
+    out = stored(supported.join(terms, "term").where(F.col("with_entity") >= DISCLOSURE * F.col("in_all")).select("entity", "term"), "pii-disclosing")
     return out if out.limit(1).count() else None
 
 
+def _small(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def find(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``df`` with the base kinds' arrays and ``term``, an array of (start, end, value) as well.
 
-    A null text is an empty one; rows with equal doc_id share their disclosed terms; a null
-    doc_id has base spans only. Repeated rows stay. An empty table gives an empty table. Columns
-    of ``df`` with the names of the results are replaced.
+    A null text is an empty one. Terms are marked in every row that holds them, with or without
+    the entity they disclose, and whatever its doc_id. Repeated rows stay. An empty table gives
+    an empty table. Columns of ``df`` with the names of the results are replaced.
     """
     docs = df.drop(*KINDS)
     plain = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    near = stored(_entities(base_spans(plain).where(" or ".join(f"size({k}) > 0" for k in PATTERNS))), "pii-near")
-    terms = disclosing_terms(plain, near)
+    rows = stored(_vocabulary(plain), "pii-words")
+    found = disclosing_terms(rows)
     based = base_spans(docs, text)
-    if terms is None:
+    if found is None:
         return based.withColumn("term", F.array().cast(_SPANS))
-    own = near.select("doc_id", "entity").distinct().join(terms, "entity").groupBy("doc_id").agg(F.array_sort(F.collect_set("term")).alias("_terms"))
-    own = stored(own.withColumnRenamed("doc_id", "_doc"), "pii-own-terms")
+    terms = stored(found.select("term").distinct(), "pii-marked")
+    held = rows.select("key", F.explode("words").alias("term")).join(_small(terms), "term").select("key", "term")
+    longest = lambda a, b: F.length(b) - F.length(a)
+    own = stored(held.groupBy(F.col("key").alias("_row")).agg(F.array_sort(F.collect_set("term"), longest).alias("_terms")), "pii-own-terms")
     whole = F.coalesce(F.col(text), F.lit(""))
-    pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join("_terms", "|"), F.lit(r")(?!\p{L})"))
-    joined = based.join(own, F.col(doc_id) == F.col("_doc"), "left").withColumn("_pattern", pattern)
+    pattern = F.concat(F.lit(f"(?iu)(?<!{BOUND})(?:"), F.array_join("_terms", "|"), F.lit(f")(?!{BOUND})"))
+    joined = based.join(_small(own), F.xxhash64(F.col(doc_id), whole) == F.col("_row"), "left").withColumn("_pattern", pattern)
     joined = joined.withColumn("_m", F.when(F.col("_terms").isNotNull(), F.regexp_extract_all(whole, "_pattern", F.lit(0))).otherwise(F.array().cast("array<string>")))
-    return joined.withColumn("term", _matches(whole, F.col("_pattern"), F.col("_m"))).drop("_doc", "_terms", "_pattern", "_m")
+    return joined.withColumn("term", _matches(whole, F.col("_pattern"), F.col("_m"))).drop("_row", "_terms", "_pattern", "_m")
 
 
 def _placed(kind: str):

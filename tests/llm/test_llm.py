@@ -156,6 +156,19 @@ def test_pii_disclosing_terms_and_redaction(spark):
     assert rows[5].text == texts[5] and rows[99].text is None
 
 
+def test_pii_terms_over_whole_texts_and_in_every_document(spark):
+    """Far from the entity, short, with digits, in Han, and in a document without the entity."""
+    far = " ".join(f"filler{k}" for k in range(60))
+    texts = [f"Bo {k}a1 K7x9 \u674e\u660e\u5230\u4e86{'\u7532\u4e59\u4e19\u4e01'[k]} {far} from zed@mail.example" for k in range(4)]
+    texts += ["yesterday Bo and k7X9 left, \u4e0e\u674e\u660e\u540c"] + [f"{far} number {k}" for k in range(20)]
+    df = spark.createDataFrame([*enumerate(texts), (None, "Bo again")], "doc_id long, text string")
+    rows = {r.doc_id: r for r in pii.redact(pii.find(df)).collect()}
+    assert {"Bo", "K7x9"} <= {t.value for t in rows[0].term}
+    assert {"Bo", "k7X9", "\u674e\u660e"} <= {t.value for t in rows[4].term}
+    assert [t.value for t in rows[None].term] == ["Bo"]
+    assert all(rows[k].text == texts[k] for k in range(5, 25))
+
+
 def test_licenses(spark, empty):
     df = spark.createDataFrame([(1, "Copyright 2020 X\nLICENSED under the MIT licence!!"), (2, "x\nAll rights reserved.\nReleased under the MIT License."), (3, None), (4, "no licence")], "doc_id long, text string")
     got = {r.doc_id: (r.text_license, r.licenses) for r in licenses.scan(df).collect()}
