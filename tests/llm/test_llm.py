@@ -176,6 +176,24 @@ def test_licenses(spark, empty):
     assert licenses.scan(empty).count() == 0
 
 
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software
+without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to
+permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in
+all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE
+WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES
+OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE."""  # wrapped
+
+
+def test_licenses_full_texts_and_runs_over_lines(spark):
+    texts = [MIT, f"MIT License\n\nCopyright (c) 2020 X\n\n{MIT}\n", f"Some code.\n\n{MIT}\n\nMore text.", "This work is licensed under\nthe MIT License.", "Note: released under the MIT License. Enjoy.", "Released under the MIT"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.text_license, r.licenses) for r in licenses.scan(df).collect()}
+    assert got == {0: ("MIT", "MIT"), 1: ("MIT", "MIT"), 2: (None, "MIT"), 3: ("MIT", "MIT"), 4: (None, "MIT"), 5: (None, "")}
+    own = licenses.known(spark).where("license = 'ISC'")
+    assert licenses.scan(df, digests=own).where("licenses <> ''").count() == 0
+
+
 def test_warc(spark):
     big, small = "<p>" + "x" * 1200, "<p>small"
     rows = [(1, "http://a/ b\r\n", big), (2, None, big), (3, "u", small), (4, "u", small), (5, "u", None), (6, "u", "é" * 600), (None, "u", big), (2, "v", big), (7, "u", "")]
