@@ -10,6 +10,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .shared import fresh
+
 #: Bytes of text handled at once in a Python worker; a longer single text is a slice of its own.
 SLICE_BYTES = 6 << 20
 
@@ -36,8 +38,10 @@ def add_columns(df: DataFrame, column: str, make: Callable[[], Callable], fields
     """
     names = {f.name.lower() for f in fields}
     kept = [f for f in df.schema.fields if f.name.lower() not in names]
-    source = df if column in {f.name for f in kept} else df.withColumn("_text", df[column])
-    column = column if source is df else "_text"
+    source = df
+    if column not in {f.name for f in kept}:
+        own = fresh([*df.columns, *names], "text")
+        source, column = df.withColumn(own, df[column]), own
     schema = T.StructType([*kept, *fields])
     passed = [f.name for f in kept]
 

@@ -37,6 +37,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(columns: list[str], stem: str) -> str:
+    """A column name that is not among ``columns``."""
+    taken, name, number = {c.lower() for c in columns}, f"_{stem}", 0
+    while name.lower() in taken:
+        number += 1
+        name = f"_{stem}_{number}"
+    return name
+
+
 def release(spark: SparkSession) -> None:
     """Let go of the shuffle files of finished steps.
 
