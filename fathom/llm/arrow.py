@@ -113,6 +113,14 @@ class Memory:
             self.put(key, found)
         return found
 
+    def many(self, keys: list) -> list:
+        """:meth:`get` of each key."""
+        out = list(map(self.new.get, keys))
+        for i, found in enumerate(out):
+            if found is None and keys[i] in self.old:
+                out[i] = self.get(keys[i])
+        return out
+
     def put(self, key, value) -> None:
         if len(self.new) >= self.size:
             self.old, self.new = self.new, {}

@@ -23,8 +23,6 @@ from .arrow import Memory, add_columns, joined, pieces
 
 #: Entries of each generation of the memo of encoded pieces in a Python worker.
 MEMO_PIECES = 250_000
-#: Memoised token pairs of a worker.
-MEMO_PAIRS = 500_000
 
 
 class MergeReplay:
@@ -39,20 +37,24 @@ class MergeReplay:
         for token, rank in self.ranks.items():
             self.tokens[rank] = token
         self.byte_ids = [self.ranks[bytes([b])] for b in range(256)]
-        self.pairs: dict[int, int] = {}
         self.split = regex.compile(pattern).findall
         self.memo = Memory(MEMO_PIECES)
         self.vocabulary = pa.array(self.tokens, pa.binary())
+        self.prepare()
 
-    def pair_rank(self, left: int, right: int) -> int:
-        """The rank of the merge of two tokens, -1 if there is none."""
-        key = left << 20 | right
-        rank = self.pairs.get(key)
-        if rank is None:
-            if len(self.pairs) >= MEMO_PAIRS:
-                self.pairs.clear()
-            rank = self.pairs[key] = self.ranks.get(self.tokens[left] + self.tokens[right], -1)
-        return rank
+    def prepare(self) -> None:
+        """The rank of each pair of tokens that merges, and of each pair of bytes (-1: none)."""
+        get = self.ranks.get
+        self.pairs: dict[int, int] = {}
+        for token, rank in self.ranks.items():
+            for cut in range(1, len(token)):
+                left, right = get(token[:cut]), get(token[cut:])
+                if left is not None and right is not None:
+                    self.pairs[left << 20 | right] = rank
+        self.byte_pairs = np.full(1 << 16, -1, np.int64)
+        for left in range(256):
+            for right in range(256):
+                self.byte_pairs[left << 8 | right] = get(bytes((left, right)), -1)
 
     def replay(self, words: list[bytes]) -> list[bytes]:
         """The token ids of each word, as bytes of native unsigned 32-bit integers.
@@ -61,55 +63,46 @@ class MergeReplay:
         go back to the index, so that every word sees the order that encoding it alone gives:
         lowest rank first, leftmost first.
         """
-        ids = self.byte_ids
-        token: list[int] = []
-        after: list[int] = []
-        before: list[int] = []
-        starts: list[int] = []
-        index: dict[int, list[int]] = {}
-        pair_rank, pairs = self.pair_rank, self.pairs
-        for word in words:
-            start = len(token)
-            starts.append(start)
-            end = start + len(word)
-            token += [ids[b] for b in word]
-            after += range(start + 1, end + 1)
-            before += range(start - 1, end - 1)
-            if end > start:
-                after[-1] = before[start] = -1
-                for at in range(start, end - 1):
-                    rank = pairs.get(token[at] << 20 | token[at + 1])
-                    if rank is None:
-                        rank = pair_rank(token[at], token[at + 1])
-                    if rank >= 0:
-                        found = index.get(rank)
-                        if found is None:
-                            index[rank] = [at]
-                        else:
-                            found.append(at)
+        whole = np.frombuffer(b"".join(words), np.uint8).astype(np.int64)
+        sizes = np.array([len(w) for w in words], np.int64)
+        ends = np.cumsum(sizes)
+        # The rank of the pair that starts at each position, -1 if it does not merge.
+        ranks = np.full(len(whole), -1, np.int64)
+        ranks[:-1] = self.byte_pairs[whole[:-1] << 8 | whole[1:]]
+        last = ends[sizes > 0] - 1
+        ranks[last] = -1
+        after, before = np.arange(1, len(whole) + 1), np.arange(-1, len(whole) - 1)
+        after[last] = before[(ends - sizes)[sizes > 0]] = -1
+        # The inverted index: of each pair, by its rank, the positions in all words.
+        places = np.flatnonzero(ranks >= 0)
+        places = places[np.argsort(ranks[places], kind="stable")]
+        cuts = np.flatnonzero(np.diff(ranks[places], prepend=-1))
+        firsts = ranks[places[cuts]].tolist() if len(places) else []
+        bounds, listed = [*cuts.tolist(), len(places)], places.tolist()
+        index = {rank: listed[a:b] for rank, a, b in zip(firsts, bounds, bounds[1:])}
+        token = np.array(self.byte_ids, np.int64)[whole].tolist()
+        after, before, ranks = after.tolist(), before.tolist(), ranks.tolist()
+        pair = self.pairs.get
         heap = list(index)
         heapq.heapify(heap)
         while heap:
             rank = heapq.heappop(heap)
-            places = index.pop(rank, None)
-            if not places:
+            found = index.pop(rank, None)
+            if found is None:
                 continue
-            places.sort()
-            for number, at in enumerate(places):
-                left = token[at]
-                right = after[at]
-                if left < 0 or right < 0 or pairs.get(left << 20 | token[right], pair_rank(left, token[right])) != rank:
+            found.sort()
+            for number, at in enumerate(found):
+                if ranks[at] != rank:
                     continue
+                right = after[at]
                 further = after[right]
                 token[at] = rank
-                token[right] = -1
+                token[right] = ranks[right] = -1
                 after[at] = further
                 lower = False
                 if further >= 0:
                     before[further] = at
-                    new = pairs.get(rank << 20 | token[further])
-                    if new is None:
-                        new = pair_rank(rank, token[further])
+                    new = ranks[at] = pair(rank << 20 | token[further], -1)
                     if new >= 0:
                         lower = new < rank
                         if new in index:
@@ -117,11 +110,11 @@ class MergeReplay:
                         else:
                             index[new] = [at]
                             heapq.heappush(heap, new)
+                else:
+                    ranks[at] = -1
                 previous = before[at]
                 if previous >= 0:
-                    new = pairs.get(token[previous] << 20 | rank)
-                    if new is None:
-                        new = pair_rank(token[previous], rank)
+                    new = ranks[previous] = pair(token[previous] << 20 | rank, -1)
                     if new >= 0:
                         lower = lower or new < rank
                         if new in index:
@@ -129,14 +122,15 @@ class MergeReplay:
                         else:
                             index[new] = [previous]
                             heapq.heappush(heap, new)
-                if lower and number + 1 < len(places):
+                if lower and number + 1 < len(found):
                     if rank not in index:
                         heapq.heappush(heap, rank)
-                    index.setdefault(rank, []).extend(places[number + 1 :])
+                    index.setdefault(rank, []).extend(found[number + 1 :])
                     break
         flat = np.array(token, np.int64)
         alive = flat >= 0
-        bounds = np.concatenate([[0], np.cumsum(alive)])[[*starts, len(token)]] * 4
+        starts = np.concatenate([[0], ends])
+        bounds = (np.concatenate([[0], np.cumsum(alive)])[starts] * 4).tolist()
         out = flat[alive].astype(np.uint32).tobytes()
         return [out[a:b] for a, b in zip(bounds, bounds[1:])]
 
@@ -144,7 +138,7 @@ class MergeReplay:
         """Token ids of each text, as lists of 32-bit integers."""
         values, codes, offsets = pieces(texts)
         memo = self.memo
-        known = [memo.get(v) for v in values]
+        known = memo.many(values)
         cut: dict[int, list[str]] = {i: self.split(values[i]) for i, v in enumerate(known) if v is None}
         words = list({w: None for parts in cut.values() for w in parts})
         done: dict[str, bytes] = {}

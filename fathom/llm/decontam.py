@@ -34,7 +34,7 @@ from .shared import fresh
 #: An item is in a text if a passage is within this share of its length in edits.
 DISTANCE = 0.2
 #: Keys of a window. Chosen for a recall of 0.95 of passages with random edits of DISTANCE itself.
-REPEATS = 3
+REPEATS = 4
 #: Least lengths of the classes of items, the steps of their walks, and how many of them are sampled.
 CLASSES = ((10, 6, 6), (20, 10, 9), (40, 18, 16), (80, 28, 25))
 #: Characters of an item that are compared first, and the edits in them that a proposal may have.
@@ -85,7 +85,9 @@ class _Walk:
     """One repeat of a class: a walk, its sampled places, and the keys of the items."""
 
     def __init__(self, random: np.random.Generator, steps: int, places: int):
-        self.moves = random.integers(0, 1 << 32, _LETTERS, np.uint32)
+        # Half of a letter's bits are set, so that all walks reach about as far.
+        bits = random.permuted(np.tile(np.arange(steps) % 2, (_LETTERS, 1)), axis=1)
+        self.moves = (bits << np.arange(steps)).sum(axis=1).astype(np.uint32)
         self.values = random.integers(0, 1 << 32, _LETTERS, np.uint32)
         self.sampled = np.isin(np.arange(steps), random.choice(steps, places, replace=False))
 

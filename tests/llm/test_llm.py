@@ -65,7 +65,8 @@ def test_bpe_when_a_merge_makes_a_lower_rank():
     replay = bpe.MergeReplay.__new__(bpe.MergeReplay)
     tokens = [bytes([b]) for b in range(256)] + [b"abc", b"ab", b"cab"]
     replay.ranks, replay.tokens = {t: k for k, t in enumerate(tokens)}, tokens
-    replay.byte_ids, replay.pairs = list(range(256)), {}
+    replay.byte_ids = list(range(256))
+    replay.prepare()
 
     def alone(word):
         parts = [bytes([b]) for b in word]
