@@ -30,7 +30,7 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iter
         yield batch.slice(start, end - start)
 
 
-def add_columns(df: DataFrame, column: str, make: Callable[[], Callable], fields: list[T.StructField]) -> DataFrame:
+def add_columns(df: DataFrame, column: str, make: Callable[[], Callable], fields: list[T.StructField], limit: int = SLICE_BYTES) -> DataFrame:
     """``df`` with columns computed from the text ``column`` by Arrow arrays.
 
     ``make()`` runs once a task and returns a function from a string array without nulls to one
@@ -48,24 +48,27 @@ def add_columns(df: DataFrame, column: str, make: Callable[[], Callable], fields
     def run(batches):
         work = make()
         for batch in batches:
-            for part in slices(batch, column):
+            for part in slices(batch, column, limit):
                 made = work(pc.fill_null(part.column(column), ""))
                 yield pa.RecordBatch.from_arrays([*(part.column(n) for n in passed), *made], [f.name for f in schema.fields])
 
     return source.mapInArrow(run, schema)
 
 
-def pieces(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+def pieces(texts: pa.Array, whole: list[str] = ()) -> tuple[list[str], int, np.ndarray, np.ndarray]:
     """Cut texts where no pre-token of a byte-level tokenizer can cross.
 
-    Returns the distinct pieces, the piece numbers of all texts in a row, and each text's
-    bounds in these numbers. Cuts are made only before a single space, around a single line
-    feed, and between a letter or digit and a following stop or comma: the split pattern starts
-    a new match there whatever stands further away. Texts with two white-space characters in a
-    row stay whole. Pieces of a text, joined, are the text.
+    Returns the distinct pieces, how many of them are cut (the rest are whole texts), the piece
+    numbers of all texts in a row, and each text's bounds in these numbers. Cuts are made only
+    before a single space, around a single line feed, and between a letter or digit and a
+    following stop or comma: the split pattern starts a new match there whatever stands further
+    away. Texts with two white-space characters in a row, and those that hold one of the strings
+    ``whole``, stay whole. Pieces of a text, joined, are the text.
     """
     n = len(texts)
     uncut = pc.match_substring_regex(texts, _UNCUT).to_numpy(zero_copy_only=False)
+    for string in whole:
+        uncut = uncut | pc.match_substring(texts, string).to_numpy(zero_copy_only=False)
     plain = texts.filter(pa.array(~uncut))
     plain = pc.replace_substring(plain, " ", "\0 ")
     plain = pc.replace_substring(plain, "\n", "\0\n\0")
@@ -78,17 +81,17 @@ def pieces(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     codes = coded.indices.to_numpy(zero_copy_only=False)
     if not uncut.any():
         offsets = lists.offsets.to_numpy().astype(np.int64)
-        return values, codes, offsets - offsets[0]
+        return values, len(values), codes, offsets - offsets[0]
     counts = np.ones(n, np.int64)
     counts[~uncut] = np.diff(lists.offsets.to_numpy())
     offsets = np.concatenate([[0], np.cumsum(counts)])
     merged = np.empty(offsets[-1], np.int64)
-    whole = offsets[:-1][uncut]
+    at = offsets[:-1][uncut]
     mask = np.ones(len(merged), bool)
-    mask[whole] = False
+    mask[at] = False
     merged[mask] = codes
-    merged[whole] = len(values) + np.arange(len(whole))
-    return values + texts.filter(pa.array(uncut)).to_pylist(), merged, offsets
+    merged[at] = len(values) + np.arange(len(at))
+    return values + texts.filter(pa.array(uncut)).to_pylist(), len(values), merged, offsets
 
 
 def joined(parts: pa.Array, codes: np.ndarray, offsets: np.ndarray) -> pa.Array:
@@ -107,21 +110,31 @@ class Memory:
     def __init__(self, size: int):
         self.size, self.new, self.old = size, {}, {}
 
-    def get(self, key):
-        found = self.new.get(key)
-        if found is None and (found := self.old.get(key)) is not None:
-            self.put(key, found)
-        return found
-
     def many(self, keys: list) -> list:
-        """:meth:`get` of each key."""
+        """The values of keys, None for those not remembered; what was found stays longer."""
         out = list(map(self.new.get, keys))
-        for i, found in enumerate(out):
-            if found is None and keys[i] in self.old:
-                out[i] = self.get(keys[i])
+        if self.old:
+            for i, found in enumerate(out):
+                if found is None and (found := self.old.get(keys[i])) is not None:
+                    out[i] = found
+                    self.put(keys[i], found)
         return out
 
     def put(self, key, value) -> None:
         if len(self.new) >= self.size:
             self.old, self.new = self.new, {}
         self.new[key] = value
+
+
+_held: list = [None, None]
+
+
+def resource(key: tuple, make: Callable):
+    """``make()``, kept in this worker until another key is asked for.
+
+    Workers serve one stage after another; this way they hold one operator's tables at a time.
+    """
+    if _held[0] != key:
+        _held[:] = None, None
+        _held[:] = key, make()
+    return _held[1]

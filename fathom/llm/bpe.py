@@ -10,7 +10,6 @@ seen before, so nothing grows with the corpus and no shuffle is needed.
 from __future__ import annotations
 
 import base64
-import functools
 import heapq
 
 import numpy as np
@@ -19,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .arrow import Memory, add_columns, joined, pieces
+from .arrow import Memory, add_columns, joined, pieces, resource
 
 #: Entries of each generation of the memo of encoded pieces in a Python worker.
 MEMO_PIECES = 250_000
@@ -136,7 +135,7 @@ class MergeReplay:
 
     def encode(self, texts: pa.Array) -> pa.Array:
         """Token ids of each text, as lists of 32-bit integers."""
-        values, codes, offsets = pieces(texts)
+        values, _, codes, offsets = pieces(texts)
         memo = self.memo
         known = memo.many(values)
         cut: dict[int, list[str]] = {i: self.split(values[i]) for i, v in enumerate(known) if v is None}
@@ -160,11 +159,6 @@ class MergeReplay:
         return joined(self.vocabulary, flat.to_numpy(zero_copy_only=False), (offsets - offsets[0]).astype(np.int64))
 
 
-@functools.lru_cache(maxsize=2)
-def _replay(path: str, pattern: str) -> MergeReplay:
-    return MergeReplay(path, pattern)
-
-
 def encode(df: DataFrame, path: str, pattern: str, column: str = "text", ids: str = "ids", decoded: str | None = "decoded") -> DataFrame:
     """``df`` with the token ids of ``column`` and, unless ``decoded`` is None, their bytes.
 
@@ -177,7 +171,7 @@ def encode(df: DataFrame, path: str, pattern: str, column: str = "text", ids: st
     fields += [T.StructField(decoded, T.BinaryType())] if decoded else []
 
     def make():
-        replay = _replay(path, pattern)
+        replay = resource(("bpe", path, pattern), lambda: MergeReplay(path, pattern))
 
         def work(texts):
             out = replay.encode(texts)

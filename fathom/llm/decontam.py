@@ -18,7 +18,6 @@ at a step is that of the same or the next character at the following step.
 
 from __future__ import annotations
 
-import functools
 import re
 
 import numpy as np
@@ -28,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .arrow import add_columns
+from .arrow import add_columns, resource
 from .shared import fresh
 
 #: An item is in a text if a passage is within this share of its length in edits.
@@ -276,11 +275,6 @@ def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return letters, np.concatenate([[0], np.cumsum(lengths + 1)[:-1]])
 
 
-@functools.lru_cache(maxsize=2)
-def _index(ids: tuple, texts: tuple) -> Index:
-    return Index(ids, texts)
-
-
 def _blocks(benchmark: DataFrame, item_id: str, text: str):
     """The distinct items, normalised, in blocks of at most PASS_CHARS characters."""
     rows = benchmark.select(F.col(item_id).cast("long").alias("i"), F.col(text).alias("t")).where("i is not null and t is not null")
@@ -316,7 +310,7 @@ def find(df: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str =
         shared = df.sparkSession.sparkContext.broadcast((ids, texts))
 
         def make(shared=shared):
-            index = _index(*shared.value)
+            index = resource(("decontam", shared.value), lambda: Index(*shared.value))
 
             def work(column):
                 hits = index.found(normalised(column))

@@ -9,16 +9,16 @@ token count (u32), so that readers can shuffle records without scanning the data
 
 from __future__ import annotations
 
-import functools
 import struct
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow import Memory, joined, pieces, slices
+from .arrow import Memory, joined, pieces, resource, slices
 from .shared import filesystem, replaced, shared_folder, stored
 
 MAGIC = b"FTHMIDS1"
@@ -38,13 +38,17 @@ def masked(data) -> int:
 
 
 class PieceEncoder:
-    """The tokenizers library over distinct pieces, each encoded once while it is remembered."""
+    """The tokenizers library over distinct pieces, each encoded once while it is remembered.
+
+    The library is used as it is: the strings of its added tokens, special ones too, are those
+    tokens wherever they stand in a text. Texts that hold one are encoded whole.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.model = self.tokenizer.model
         self.memo = Memory(MEMO_PIECES)
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
@@ -52,42 +56,41 @@ class PieceEncoder:
         hidden = [b for b in range(256) if b not in set(shown)]
         self.letters = {b: b for b in shown} | {b: 256 + i for i, b in enumerate(hidden)}
 
-    def ids(self, values: list[str]) -> list[bytes]:
-        known = [self.memo.get(v) for v in values]
+    def ids(self, values: list[str], cut: int) -> list[bytes]:
+        """The ids of pieces, as bytes of unsigned 32-bit integers; from ``cut`` on whole texts."""
+        known = self.memo.many(values)
         hard = []
-        tokenize, letters = self.model.tokenize, self.letters
-        for i, value in enumerate(values):
-            if known[i] is None:
-                if value.isalpha() or value[:1] == " " and value[1:].isalpha():  # one pre-token
-                    known[i] = np.array([t.id for t in tokenize(value.encode().decode("latin1").translate(letters))], np.uint32).tobytes()
+        tokenize, letters, put = self.model.tokenize, self.letters, self.memo.put
+        for i, found in enumerate(known):
+            if found is None:
+                value = values[i]
+                if i < cut and (value.isalpha() or value[:1] == " " and value[1:].isalpha()):  # one pre-token
+                    symbols = value if value.isascii() and value[0] != " " else value.encode().decode("latin1").translate(letters)
+                    found = known[i] = array("I", [t.id for t in tokenize(symbols)]).tobytes()
+                    if len(value) <= 64:
+                        put(value, found)
                 else:
                     hard.append(i)
         for i, found in zip(hard, self.tokenizer.encode_batch_fast([values[i] for i in hard], add_special_tokens=False) if hard else []):
-            known[i] = np.array(found.ids, np.uint32).tobytes()
-        for value, found in zip(values, known):
-            if len(value) <= 64:
-                self.memo.put(value, found)
+            known[i] = array("I", found.ids).tobytes()
+            if len(values[i]) <= 64:
+                put(values[i], known[i])
         return known
 
     def encode(self, texts: pa.Array) -> pa.ListArray:
-        values, codes, offsets = pieces(texts)
-        known = self.ids(values)
-        bounds = np.concatenate([[0], np.cumsum([len(k) for k in known])]) // 4
+        values, cut, codes, offsets = pieces(texts, self.added)
+        known = self.ids(values, cut)
+        bounds = np.concatenate([[0], np.cumsum(list(map(len, known)), dtype=np.int64)]) // 4
         flat = pa.array(np.frombuffer(b"".join(known), np.int32))
         return joined(pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), flat), codes, offsets)
 
 
-@functools.lru_cache(maxsize=2)
-def _encoder(path: str) -> PieceEncoder:
-    return PieceEncoder(path)
-
-
 def _write_shard(batches, shard: int, path: str, tokenizer: str, end_id: int):
     """Write one task's rows to its data and index file; yield the row that describes them."""
     first = next((b for b in batches if b.num_rows), None)
     if first is None:
         return
-    encoder = _encoder(tokenizer)
+    encoder = resource(("token files", tokenizer), lambda: PieceEncoder(tokenizer))
     kind = np.dtype("<u2" if encoder.width == 2 and end_id < 1 << 16 else "<u4")
     rows = []
     offset, before = HEADER.size, 0
@@ -114,13 +117,16 @@ def _write_shard(batches, shard: int, path: str, tokenizer: str, end_id: int):
 def write(df: DataFrame, folder: str, tokenizer: str, end_id: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Encode the texts and write data and index files in ascending doc_id order.
 
-    Rows are dealt by ranges of doc_id and sorted, so file number order is doc_id order; rows of
-    one doc_id follow each other (ties: by text), null ids come first and are stored as the
-    least 64-bit integer. A null or empty text has only the end id. Returns one row a file:
+    Rows are dealt by ranges of doc_id, then of a hash of the text, and sorted, so file number
+    order is doc_id order and many rows of one doc_id take several files; rows of one doc_id
+    follow each other (ties: by that hash, then by text), null ids come first and are stored as
+    the least 64-bit integer. A null or empty text has only the end id; a very long one is one
+    record. Other columns of ``df``, whatever their names, are left out. Returns one row a file:
     ``shard, path, n_docs, n_tokens``, as a written table; an empty table gives no file. Files
     carry the number of the task attempt, so a doubled attempt leaves files that nothing names.
     """
-    sorted_rows = df.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(-(2**63))).alias("doc_id"), F.col(text).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    rows = df.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(-(2**63))).alias("doc_id"), F.col(text).alias("text")).withColumn("tie", F.xxhash64("text"))
+    sorted_rows = rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text").drop("tie")
 
     def run(batches):
         from pyspark import TaskContext

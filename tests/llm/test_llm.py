@@ -85,7 +85,6 @@ def test_token_files(docs, empty):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     got = {}
     for r in token_files.round_trip(docs, P.path("byte_bpe_50k.json"), 2).collect():
         got.setdefault(r.doc_id, []).append(r)
