@@ -23,7 +23,11 @@ TABLES, PROBES = 8, 2
 #: Length of a unit vector's projection, in units in which the lattice's least vectors have length sqrt(2).
 SCALE = 2.6
 #: Rows of a cell compared in one task at once; larger cells are cut into pairs of such blocks.
-BLOCK = 2048
+BLOCK = 8192
+#: Rows of a block compared at once.
+STRIP = 1024
+#: Cells of more than BLOCK vectors are broadcast up to so many, else joined.
+BROADCAST_CELLS = 200_000
 _ODD = np.random.default_rng(8).integers(1, 1 << 62, 8, np.int64).view(np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -63,40 +67,69 @@ def cells(units: np.ndarray) -> np.ndarray:
     return ((numbers ^ tables) * np.uint64(0xC2B2AE3D27D4EB4F)).view(np.int64)
 
 
+def _matrices(vectors: pa.Array):
+    """Rows of usable vectors of one length at a time: (row numbers, float64 matrix).
+
+    Usable are lists with entries that are all finite numbers, not all of them 0.
+    """
+    sizes = np.diff(vectors.offsets.to_numpy()) if len(vectors) else np.empty(0, np.int64)
+    starts = vectors.offsets.to_numpy()[:-1].astype(np.int64)
+    valid = vectors.is_valid().to_numpy(zero_copy_only=False)
+    flat = vectors.values.cast(pa.float64()).to_numpy(zero_copy_only=False)  # nulls are NaN
+    for size in np.unique(sizes[valid]).tolist():
+        rows = np.flatnonzero(valid & (sizes == size))
+        for at in range(0, len(rows) if size else 0, 1 << 14):
+            part = rows[at : at + (1 << 14)]
+            matrix = flat[starts[part][:, None] + np.arange(size)]
+            good = np.isfinite(matrix).all(axis=1) & matrix.any(axis=1)
+            yield part[good], matrix[good]
+
+
+def _unit(matrix: np.ndarray) -> np.ndarray:
+    """Rows divided by their length; first by their largest entry, so that no square overflows."""
+    scaled = matrix / np.abs(matrix).max(axis=1, keepdims=True)
+    return scaled / np.linalg.norm(scaled, axis=1, keepdims=True)
+
+
 def _index(batches):
-    """Distinct content of vectors: ``vec_id, content`` and the unit vector."""
+    """``vec_id, content``: a hash of the content of each usable vector, else null."""
     import xxhash
 
     for batch in batches:
-        ids = batch.column("vec_id").to_pylist()
-        out = []
-        for vec_id, vector in zip(ids, batch.column("embedding").to_pylist()):
-            usable = vector is not None and len(vector) and None not in vector
-            v = np.array(vector, np.float64) if usable else None
-            if not usable or not np.isfinite(v).all():
-                out.append((vec_id, None, None))
-                continue
-            norm = np.linalg.norm(v / (big := np.abs(v).max() or 1.0)) * big
-            out.append((vec_id, xxhash.xxh3_64_intdigest(v.tobytes()) - (1 << 63), v / norm) if norm > 0 else (vec_id, None, None))
-        ids, content, units = zip(*out) if out else ((), (), ())
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(content, pa.int64()), pa.array(units, pa.list_(pa.float64()))], ["vec_id", "content", "unit"])
+        content = np.zeros(batch.num_rows, np.int64)
+        null = np.ones(batch.num_rows, bool)
+        for rows, matrix in _matrices(batch.column("embedding")):
+            null[rows] = False
+            content[rows] = [xxhash.xxh3_64_intdigest(v.data) - (1 << 63) for v in matrix + 0.0]
+        yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(content, mask=null), batch.column("embedding")], ["vec_id", "content", "embedding"])
+
+
+def _distinct(numbers: np.ndarray) -> np.ndarray:
+    """Which entries of each row are the first of their value in the row."""
+    keep = np.ones(numbers.shape, bool)
+    for k in range(1, numbers.shape[1]):
+        keep[:, k] = ~(numbers[:, :k] == numbers[:, k : k + 1]).any(axis=1)
+    return keep
+
+
+def _cells_only(batches):
+    """A row ``cell, size`` for each cell of a batch."""
+    for batch in batches:
+        for _, matrix in _matrices(batch.column("embedding")):
+            numbers = cells(_unit(matrix)).reshape(len(matrix), -1)
+            found, size = np.unique(numbers[_distinct(numbers)], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(size.astype(np.int64))], ["cell", "size"])
 
 
 def _filed(batches):
-    """A row ``cell, node, copies, unit`` for each distinct cell of a vector."""
+    """A row ``cell, node, copies, embedding`` for each distinct cell of a vector."""
     for batch in batches:
-        units = batch.column("unit").to_pylist()
-        for size in sorted({len(u) for u in units}):
-            at = [i for i, u in enumerate(units) if len(u) == size]
-            for start in range(0, len(at), 2000):
-                some = at[start : start + 2000]
-                numbers = cells(np.array([units[i] for i in some])).reshape(len(some), -1)
-                keep = np.ones(numbers.shape, bool)
-                for k in range(1, numbers.shape[1]):
-                    keep[:, k] = ~(numbers[:, :k] == numbers[:, k : k + 1]).any(axis=1)
-                row, col = np.nonzero(keep)
-                take = pa.array(np.array(some)[row])
-                yield pa.RecordBatch.from_arrays([pa.array(numbers[row, col]), batch.column("node").take(take), batch.column("copies").take(take), batch.column("unit").take(take)], ["cell", "node", "copies", "unit"])
+        for rows, matrix in _matrices(batch.column("embedding")):
+            for at in range(0, len(rows), 2000):
+                numbers = cells(_unit(matrix[at : at + 2000])).reshape(len(rows[at : at + 2000]), -1)
+                row, col = np.nonzero(_distinct(numbers))
+                take = pa.array(rows[at : at + 2000][row])
+                yield pa.RecordBatch.from_arrays([pa.array(numbers[row, col]), *(batch.column(c).take(take) for c in ("node", "copies", "embedding"))], ["cell", "node", "copies", "embedding"])
 
 
 def _met_before(a: np.ndarray, b: np.ndarray, cell: int) -> np.ndarray:
@@ -108,32 +141,13 @@ def _met_before(a: np.ndarray, b: np.ndarray, cell: int) -> np.ndarray:
     return out
 
 
-def _compare_block(cell: int, low: list, high: list | None):
-    """Links of rows (node, copies, unit): each node's links, and edges that connect them."""
-    node = np.array([r[0] for r in low], np.int64)
-    left = np.array([r[2] for r in low])
-    other, right = (node, left) if high is None else (np.array([r[0] for r in high], np.int64), np.array([r[2] for r in high]))
-    i, j = np.nonzero(left @ right.T >= COSINE)
-    apart = node[i] < other[j] if high is None else node[i] != other[j]
-    i, j = i[apart], j[apart]
-    if not len(i):
-        return [], []
-    # A pair counts in the least cell that both have, so a pair met in several tables counts once.
-    rows_i, rows_j = np.unique(i), np.unique(j)
-    cells_i, cells_j = cells(left[rows_i]).reshape(len(rows_i), -1), cells(right[rows_j]).reshape(len(rows_j), -1)
-    first = np.ones(len(i), bool)
-    for at in range(0, len(i), 200_000):
-        part = slice(at, at + 200_000)
-        first[part] = ~_met_before(cells_i[np.searchsorted(rows_i, i[part])], cells_j[np.searchsorted(rows_j, j[part])], cell)
-    i, j = i[first], j[first]
-    copies = np.array([r[1] for r in low], np.int64)
-    copies_other = copies if high is None else np.array([r[1] for r in high], np.int64)
+def _compare_block(cell: int, low: tuple, high: tuple | None):
+    """Links of rows (nodes, copies, units): each node's links, and edges that connect them."""
+    node, copies, left = low
+    other, other_copies, right = low if high is None else high
     counts: dict[int, int] = {}
-    for keys, size in ((node[i], copies_other[j]), (other[j], copies[i])):
-        found, at = np.unique(keys, return_inverse=True)
-        for k, c in zip(found.tolist(), np.bincount(at, size).astype(np.int64).tolist() if len(found) else []):
-            counts[k] = counts.get(k, 0) + c
     parent: dict[int, int] = {}
+    edges = []
 
     def root(x):
         while parent.setdefault(x, x) != x:
@@ -141,33 +155,74 @@ def _compare_block(cell: int, low: list, high: list | None):
             x = parent[x]
         return x
 
-    edges = []
-    for a, b in zip(node[i].tolist(), other[j].tolist()):
-        a, b = root(a), root(b)
-        if a != b:
-            parent[max(a, b)] = min(a, b)
-            edges.append((a, b))
+    own, theirs = cells(left).reshape(len(left), -1), cells(right).reshape(len(right), -1)
+    for top in range(0, len(left), STRIP):
+        i, j = np.nonzero(left[top : top + STRIP] @ right.T >= COSINE)
+        i += top
+        apart = node[i] < other[j] if high is None else node[i] != other[j]
+        i, j = i[apart], j[apart]
+        # A pair counts in the least cell that both have, so a pair met in several tables counts once.
+        first = np.ones(len(i), bool)
+        for at in range(0, len(i), 200_000):
+            part = slice(at, at + 200_000)
+            first[part] = ~_met_before(own[i[part]], theirs[j[part]], cell)
+        i, j = i[first], j[first]
+        for keys, size in ((node[i], other_copies[j]), (other[j], copies[i])):
+            found, of = np.unique(keys, return_inverse=True)
+            for k, c in zip(found.tolist(), np.bincount(of, size, len(found)).astype(np.int64).tolist()):
+                counts[k] = counts.get(k, 0) + c
+        for a, b in zip(node[i].tolist(), other[j].tolist()):
+            a, b = root(a), root(b)
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+                edges.append((a, b))
     return list(counts.items()), edges
 
 
+def _by_length(node: np.ndarray, copies: np.ndarray, vectors: pa.Array) -> dict[int, tuple]:
+    """Rows of each length of vectors, as (nodes, copies, units)."""
+    out: dict[int, list[tuple]] = {}
+    for rows, matrix in _matrices(vectors):
+        out.setdefault(matrix.shape[1], []).append((node[rows], copies[rows], _unit(matrix)))
+    return {size: tuple(np.concatenate(c) for c in zip(*parts)) for size, parts in out.items()}
+
+
 def _compare(batches):
-    """Rows sorted by (cell, x, y, side) to rows (a, b, links): b is null for counts."""
-    key, sides = None, ([], [])
+    """Rows sorted by (cell, x, y, side) to rows (a, b, links): b is null for counts.
+
+    Held at once is one pair of blocks of a cell.
+    """
+    names = ("cell", "x", "y", "side")
+    key, held = None, []
 
     def flush():
-        counts, edges = _compare_block(key[0], sides[0], None if key[1] == key[2] else sides[1])
-        rows = [(a, None, n) for a, n in counts] + [(a, b, None) for a, b in edges]
+        side, node, copies = (np.concatenate([h[k] for h in held]) for k in (0, 1, 2))
+        vectors = pa.concat_arrays([h[3] for h in held])
+        cut = int(np.searchsorted(side, 1))
+        rows = []
+        if len(node) > 1:
+            low, high = _by_length(node[:cut], copies[:cut], vectors.slice(0, cut)), _by_length(node[cut:], copies[cut:], vectors.slice(cut))
+            for size, mine in low.items():
+                if key[1] == key[2] or size in high:
+                    counts, edges = _compare_block(key[0], mine, None if key[1] == key[2] else high[size])
+                    rows += [(a, None, n) for a, n in counts] + [(a, b, None) for a, b in edges]
         a, b, n = zip(*rows) if rows else ((), (), ())
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(n, pa.int64())], ["a", "b", "links"])
 
     for batch in batches:
-        for cell, x, y, side, node, copies, unit in zip(*(batch.column(c).to_pylist() for c in ("cell", "x", "y", "side", "node", "copies", "unit"))):
-            if (cell, x, y) != key:
-                if key is not None:
+        if not batch.num_rows:
+            continue
+        columns = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in names])
+        cuts = [0, *(np.flatnonzero((columns[:3, 1:] != columns[:3, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+        node, copies, vectors = batch.column("node").to_numpy(), batch.column("copies").to_numpy(), batch.column("embedding")
+        for start, end in zip(cuts, cuts[1:]):
+            now = tuple(columns[:3, start].tolist())
+            if now != key:
+                if held:
                     yield flush()
-                key, sides = (cell, x, y), ([], [])
-            sides[side].append((node, copies, unit))
-    if key is not None:
+                key, held = now, []
+            held.append((columns[3, start:end], node[start:end], copies[start:end], vectors.slice(start, end - start)))
+    if held:
         yield flush()
 
 
@@ -178,17 +233,25 @@ def links(df: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -
     so do vectors of different lengths. Equal vectors are indexed once and linked with each
     other. No cell is cut off: one of more than BLOCK vectors is compared in pairs of blocks, each
     a task's unit. ``n_links`` counts rows; rows that repeat a vec_id count as rows of their own.
+    A vector whose rows all lack a vec_id is linked with its own copies only. Only the two
+    columns are read, so others may have any names; an empty table gives an empty table.
     """
     rows = df.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).alias("embedding"))
-    indexed = stored(rows.mapInArrow(_index, "vec_id long, content long, unit array<double>"), "lattice-vectors")
+    kind = rows.schema["embedding"].dataType.simpleString()
+    indexed = stored(rows.mapInArrow(_index, f"vec_id long, content long, embedding {kind}"), "lattice-vectors")
     good = indexed.where("content is not null")
-    nodes = stored(good.groupBy("content").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies"), F.first("unit").alias("unit")), "lattice-nodes")
-    filed = stored(nodes.select("node", "copies", "unit").mapInArrow(_filed, "cell long, node long, copies long, unit array<double>"), "lattice-filed")
-    sizes = stored(filed.groupBy("cell").agg(F.count("*").alias("size")).where("size > 1").select("cell", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "lattice-cells")
-    placed = filed.join(sizes, "cell").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    nodes = stored(good.groupBy("content").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies"), F.first("embedding").alias("embedding")), "lattice-nodes")
+    vectors = nodes.where("node is not null").select("node", "copies", "embedding")
+    sizes = vectors.mapInArrow(_cells_only, "cell long, size long").groupBy("cell").agg(F.sum("size").alias("size")).where("size > 1")
+    # Cells of one vector meet nothing. The rest go out once with their vectors, by cell and pair of blocks.
+    wide = stored(sizes.select("cell", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "lattice-cells")
+    filed = vectors.mapInArrow(_filed, f"cell long, node long, copies long, embedding {kind}")
+    split = wide.where("blocks > 1")
+    split = F.broadcast(split) if split.count() <= BROADCAST_CELLS else split
+    placed = filed.join(split, "cell", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
     # A block meets itself and every other block of its cell, as (x, y) with x <= y.
     dealt = placed.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("cell", F.least("block", "with").alias("x"), F.greatest("block", "with").alias("y"), (F.col("block") > F.col("with")).cast("int").alias("side"), "node", "copies", "unit")
+    dealt = dealt.select("cell", F.least("block", "with").alias("x"), F.greatest("block", "with").alias("y"), (F.col("block") > F.col("with")).cast("int").alias("side"), "node", "copies", "embedding")
     compared = dealt.repartition("cell", "x", "y").sortWithinPartitions("cell", "x", "y", "side").mapInArrow(_compare, "a long, b long, links long")
     found = stored(compared, "lattice-links")
     counts = found.where("b is null").groupBy("a").agg(F.sum("links").alias("links")).withColumnRenamed("a", "node")
