@@ -16,7 +16,7 @@ from .shared import filesystem, replaced, shared_folder, stored
 #: Payloads of equal content are written once from this size on.
 REVISIT_BYTES = 1000
 #: Records less than a gap apart are read at once, up to a limit; blocks of this size are one task's unit.
-GAP_BYTES, READ_BYTES, BLOCK_BYTES = 64 << 10, 8 << 20, 32 << 20
+GAP_BYTES, READ_BYTES, BLOCK_BYTES = 64 << 10, 4 << 20, 8 << 20
 #: The archive holds no crawl times, so every record has this date.
 DATE = "1970-01-01T00:00:00Z"
 INDEX = "file string, offset long, length long, url string, digest string, page_id long, record_type string, refers_to long"
@@ -91,7 +91,9 @@ def write(pages: DataFrame, folder: str) -> DataFrame:
     """Write a gzip-compressed WARC file for each task; return the stored index.
 
     Null html is an empty payload; a null page_id or url is an empty field. Rows with the same
-    largest page_id and payload are all responses. Files carry the number of the task attempt,
+    largest page_id and payload (ties, repeated rows) are all responses. A very long payload is
+    one record. Only the three columns are read, so others may have any names. An empty table
+    gives an empty index and no file. Files carry the number of the task attempt,
     so that an attempt that lost never replaces bytes which the index describes.
     """
 
@@ -136,10 +138,12 @@ def read(index: DataFrame) -> DataFrame:
     """The records that ``index`` (any selection of rows of it) names, verified by digest.
 
     Rows are dealt by blocks of a file and sorted by offset; ranges close to each other are one
-    read. A repeated index row reads its record again.
+    read. There is a task for each ``BLOCK_BYTES`` of the records, however small the index rows
+    are. A repeated index row reads its record again; an empty index gives an empty table.
     """
     block = F.floor(F.col("offset") / BLOCK_BYTES)
-    dealt = index.select("file", "offset", "length", block.alias("block")).repartition("file", "block").sortWithinPartitions("file", "offset")
+    tasks = 1 + (index.agg(F.sum("length")).first()[0] or 0) // BLOCK_BYTES
+    dealt = index.select("file", "offset", "length", block.alias("block")).repartition(tasks, "file", "block").sortWithinPartitions("file", "offset")
     return dealt.mapInArrow(_read_part, "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
