@@ -17,6 +17,7 @@ from ..functions.links import CloglogLink, IdentityLink, LogitLink, LogLink, get
 from ..functions.maths import chi2_tail, normal_quantile, normal_tails
 from ..plans import design as D
 from ..plans import formula as M
+from ..plans import monotone
 from . import moments, solvers
 
 SOLVERS = ("auto", "irls-ls", "irls-cd", "lbfgs", "trust-constr", "closed-form", "irls-ls-monotonic")
@@ -189,7 +190,7 @@ class GeneralizedLinearRegressor:
                 raise ValueError("Upper bounds must be higher than lower bounds.")
         a, b = self.A_ineq, self.b_ineq
         if self.monotonic_constraints:
-            a, b = M.monotonic_matrix(self.feature_names_, self.term_names_, self.monotonic_constraints, self.interaction_separator)
+            a, b = monotone.rows(self.design_, self.monotonic_constraints)
         if a is not None:
             a, b = np.asarray(a, float), np.asarray(b, float)
             if a.ndim != 2 or a.shape[1] != k or b.shape != (len(a),):

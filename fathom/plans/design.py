@@ -29,6 +29,12 @@ class Factor:
     missing: bool = False
     method: str = "fail"
     key: str = ""
+    #: What the columns are made of, and whether their order follows its values.
+    variable: str = ""
+    ordered: bool = True
+
+    def __post_init__(self):
+        self.variable = self.variable or self.name
 
     @property
     def categorical(self) -> bool:

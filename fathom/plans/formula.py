@@ -202,6 +202,7 @@ def to_design(df: DataFrame, terms: list[tuple], *, intercept: bool, drop_first=
     texts = list(dict.fromkeys(x for t in terms for x in t))
     plain: list[tuple[str, Column, bool, str]] = []
     made: dict[str, Factor] = {}
+    variable: dict[str, str] = {}
     for text in texts:
         call = re.match(r"(C|bs|poly)\(", text)
         if call:
@@ -210,6 +211,7 @@ def to_design(df: DataFrame, terms: list[tuple], *, intercept: bool, drop_first=
             if kind == "C":
                 name = ast.unparse(args[0])
                 plain.append((text, source, True, named.get("missing_method", missing_method)))
+                variable[text] = name
                 continue
             number = int(ast.literal_eval(args[1])) if len(args) > 1 else named.get("df", named.get("degree", 1 if kind == "poly" else None))
             x = source.cast("double")
@@ -218,7 +220,7 @@ def to_design(df: DataFrame, terms: list[tuple], *, intercept: bool, drop_first=
             else:
                 degree = named.get("degree", 3)
                 basis = bspline(x, *knots(df, x, number - degree - (1 if named.get("include_intercept") else 0)), degree)[0 if named.get("include_intercept") else 1 :]
-            made[text] = Factor(text, source, [(f"{text}[{k}]", b) for k, b in enumerate(basis, 1)])
+            made[text] = Factor(text, source, [(f"{text}[{k}]", b) for k, b in enumerate(basis, 1)], variable=ast.unparse(args[0]), ordered=kind == "bs")
         else:
             source = expression(text.strip("{}"), columns, context)
             is_level = text in columns and isinstance(df.schema[text].dataType, T.StringType) or bool(levels and text in levels)
@@ -226,6 +228,8 @@ def to_design(df: DataFrame, terms: list[tuple], *, intercept: bool, drop_first=
             if text.startswith("{"):
                 made[text] = Factor(plain.pop()[0], source, [(text.strip("{}").strip(), source.cast("double"))])
     made |= make_factors(df, plain, levels, missing_name)
+    for text, name in variable.items():
+        made[text].variable = name
     present = {frozenset(t) for t in terms} | ({frozenset()} if intercept else set())
     out = []
     for t in terms:
@@ -262,49 +266,3 @@ def _linear(side: str, names: list[str]):
             raise ValueError(f"the constraint cannot be read from {side[at:]!r}")
         yield found[1] == "-", float(found[2] or 1) * float(found[4] or 1), found[3]
         at = found.end()
-
-
-def monotonic_matrix(names: list[str], terms: list[str], wanted: dict[str, str], separator: str = ":") -> tuple[np.ndarray, np.ndarray]:
-    """A and b of ``A coefficients <= b`` that makes coefficients of variables rise or fall.
-
-    Levels of a variable are compared in numeric order, else in that of the names, for each
-    combination of the other factors; a single numeric column gets a sign.
-    """
-    rows = []
-    for variable, direction in wanted.items():
-        if direction not in ("increasing", "decreasing"):
-            raise ValueError("monotonic_constraints must be 'increasing' or 'decreasing'")
-        groups: dict[tuple, list[tuple]] = {}
-        for k, name in enumerate(names):
-            own = [p for p in name.split(separator) if _base(p) == variable or _base(p) == f"C({variable})" or re.match(rf"bs\({re.escape(variable)}\b", p)]
-            if any(re.match(rf"(poly|cc)\({re.escape(variable)}\b", p) for p in name.split(separator)):
-                raise ValueError(f"monotonic constraints do not apply to {name}")
-            if len(own) > 1:
-                raise ValueError(f"{variable} interacts with itself in {name}")
-            if own:
-                rest = tuple(p for p in name.split(separator) if p != own[0])
-                level = re.search(r"\[(?:T\.)?(.*)\]$", own[0])
-                key = level[1] if level else ""
-                try:
-                    order = (0, float(key), "")
-                except ValueError:
-                    order = (1, 0.0, key)
-                groups.setdefault(rest, []).append((order, k))
-        if not groups:
-            raise ValueError(f"no column of the model belongs to {variable}")
-        sign = 1.0 if direction == "increasing" else -1.0
-        for members in groups.values():
-            at = [k for _, k in sorted(members)]
-            if len(at) == 1:
-                row = np.zeros(len(names))
-                row[at[0]] = -sign
-                rows.append(row)
-            for a, b in zip(at, at[1:]):
-                row = np.zeros(len(names))
-                row[a], row[b] = sign, -sign
-                rows.append(row)
-    return np.array(rows), np.zeros(len(rows))
-
-
-def _base(part: str) -> str:
-    return re.sub(r"\[[^\]]*\]$", "", part)

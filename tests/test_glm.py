@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 from fathom.operators.glm import GeneralizedLinearRegressor as GLM
 from fathom.operators.glm_cv import GeneralizedLinearRegressorCV as GLMCV
 from fathom.plans import formula as M
+from fathom.plans import monotone
+from fathom.plans.design import Design, Factor
 from fathom.sources import models, synthetic, tables
 
 
@@ -65,9 +67,25 @@ def test_formula_terms():
         M.parse(3)
     a, r = M.constraint("a + b = 2 * c - 1, a", ["a", "b", "c"])
     assert a.tolist() == [[1, 1, -2], [1, 0, 0]] and r.tolist() == [-1, 0]
-    names = ["sp[10]", "sp[2]", "sp[1]", "sp[3]"]
-    a, b = M.monotonic_matrix(names, names, {"sp": "increasing"})
+
+
+def test_monotonic_rows(spark):
+    level = lambda name, *levels: Factor(name, F.lit(0), levels=list(levels))
+    one = level("sp", "10", "2", "1", "3")
+    a, b = monotone.rows(Design([("sp", [one], (False,))]), {"sp": "increasing"})
     assert a.tolist() == [[0, -1, 1, 0], [0, 1, 0, -1], [-1, 0, 0, 1]] and not b.any()
+    x = Factor("x", F.lit(0), [("x", F.lit(0))])
+    both = Design([("x", [x], (False,)), ("g:sp", [level("g", "a", "b"), level("sp", "1", "2")], (False, False))])
+    a, _ = monotone.rows(both, {"sp": "decreasing", "x": "increasing"})
+    assert sorted(a.tolist()) == [[-1, 0, 0, 0, 0], [0, -1, 1, 0, 0], [0, 0, 0, -1, 1]]
+    a, _ = monotone.rows(Design([("sp:x", [level("sp", "b", "a"), x], (False, False))]), {"x": "increasing"})
+    assert a.tolist() == [[-1, 0], [0, -1]]
+    with pytest.raises(ValueError, match="itself"):
+        monotone.rows(Design([("sp:C(sp)", [one, Factor("C(sp)", F.lit(0), levels=["1"], variable="sp")], (False, False))]), {"sp": "increasing"})
+    with pytest.raises(ValueError, match="belongs to z"):
+        monotone.rows(both, {"z": "increasing"})
+    with pytest.raises(ValueError, match="do not apply"):
+        monotone.rows(Design([("poly(x, 2)", [Factor("poly(x, 2)", F.lit(0), [("p", F.lit(0))], variable="x", ordered=False)], (False,))]), {"x": "increasing"})
 
 
 def test_unseen_and_missing(spark):
