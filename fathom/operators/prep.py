@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,17 +36,19 @@ def checked_join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
 def survival_split(df: DataFrame, duration: str, event: str, times: DataFrame | None = None) -> DataFrame:
     """A row for each subject and distinct event time up to its end, with ``time`` and ``died``.
 
-    The distinct event times at or below a subject's end are a prefix of one sorted list, so the
-    split is an ``explode`` of a slice of it; no range join is needed. The list has one value
-    for each distinct time and is checked to be short enough for a plan literal.
+    A range join by equal keys: the span of the times is cut into about as many slots as there
+    are thousands of times, a subject meets every slot up to that of its end, and only in that
+    last one times beyond the end are left out. The driver sees three numbers.
     """
     times = times if times is not None else df.where(F.col(event) > 0).select(F.col(duration).alias("time")).distinct()
-    values = sorted(r[0] for r in times.limit(100_001).collect())
-    if len(values) > 100_000:
-        raise ValueError("more than 100,000 distinct event times: round them first")
-    listed = F.array(*map(F.lit, values)) if values else F.array().cast("array<double>")
-    rows = df.withColumn("time", F.explode(F.filter(listed, lambda t: t <= F.col(duration))))
-    return rows.withColumn("died", ((F.col("time") == F.col(duration)) & (F.col(event) > 0)).cast("int"))
+    span = times.agg(F.min("time").alias("low"), F.max("time").alias("high"), F.count("*").alias("n")).first()
+    low, high = float(span.low or 0), float(span.high or 0)
+    slots = 1 + span.n // 1000
+    slot = lambda c: F.least(F.floor((c.cast("double") - low) * (slots / max(high - low, 1e-300))), F.lit(slots - 1)).cast("int")
+    last = F.when(F.col(duration) >= low, slot(F.col(duration)))
+    spread = df.withColumn("_slot", F.explode(F.sequence(F.lit(0), last)))
+    rows = spread.join(times.select("time", slot(F.col("time")).alias("_slot")), "_slot").where(F.col("time") <= F.col(duration)).drop("_slot")
+    return rows.select(*df.columns, "time").withColumn("died", ((F.col("time") == F.col(duration)) & (F.col(event) > 0)).cast("int"))
 
 
 def categorise(c: Column, edges: list[float]) -> Column:
@@ -94,29 +98,31 @@ def ewma(df: DataFrame, by: str, order, column: str, span: float, name: str = "e
     """Adjusted exponentially weighted mean over all rows up to each one, nulls ignored.
 
     A row's value is the sum of x_i (1-a)^(n-i) over the sum of (1-a)^(n-i), with i counting
-    non-null rows; both sums are running window sums of terms scaled by (1-a)^-i within blocks of
-    256 rows, and a short recursion over the blocks' totals carries them on, so there is no
-    quadratic list and no overflow.
+    non-null rows. Both sums are running window sums within blocks of rows, of terms scaled by
+    (1-a)^-i. A block is as long as that factor stays below e^60, so a dozen blocks later its
+    share is below the least double: what earlier blocks carry into one is a sum over the lags of
+    their totals, and no step grows with the number of blocks.
     """
     keys = [order] if isinstance(order, str) else list(order)
     decay = 1 - 2 / (span + 1)
+    fade = -math.log(decay) if 0 < decay < 1 else 750.0
+    block = max(1, int(60 / fade))
     whole = Window.partitionBy(by).orderBy(*keys)
     at = F.count(column).over(whole.rowsBetween(Window.unboundedPreceding, 0))
-    rows = df.withColumn("_i", at).withColumn("_b", F.floor((F.greatest("_i", F.lit(1)) - 1) / 256))
+    rows = df.withColumn("_i", at).withColumn("_b", F.floor((F.greatest("_i", F.lit(1)) - 1) / block))
     inside = Window.partitionBy(by, "_b").orderBy(*keys).rowsBetween(Window.unboundedPreceding, 0)
-    place = F.col("_i") - F.col("_b") * 256
-    grown = F.when(F.col(column).isNotNull(), F.pow(F.lit(decay), -place))
+    place = F.col("_i") - F.col("_b") * block
+    grown = F.when(F.col(column).isNotNull(), F.exp(place * fade))
     rows = rows.withColumns({"_x": F.coalesce(F.sum(grown * F.col(column)).over(inside), F.lit(0.0)), "_w": F.coalesce(F.sum(grown).over(inside), F.lit(0.0)), "_p": place})
-    ends = rows.groupBy(by, "_b").agg(F.max("_p").alias("n"), F.max_by("_x", "_p").alias("x"), F.max_by("_w", "_p").alias("w"))
-    factor = F.pow(F.lit(decay), "n")
-    sorted_ends = ends.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("_b", "n", (F.col("x") * factor).alias("x"), (F.col("w") * factor).alias("w")))).alias("e"))
-    zero = F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("w"))
-    step = lambda a, e: F.struct((a["x"] * F.pow(F.lit(decay), e["n"]) + e["x"]).alias("x"), (a["w"] * F.pow(F.lit(decay), e["n"]) + e["w"]).alias("w"))
-    carried = sorted_ends.select(by, F.explode(F.transform("e", lambda e: F.struct(e["_b"].alias("_b"), F.aggregate(F.filter("e", lambda f: f["_b"] < e["_b"]), zero, step).alias("c")))).alias("k")).select(by, "k._b", "k.c")
+    # All blocks but the last of a key are full, so the totals of a block fade alike over each later one.
+    end = math.exp(-block * fade)
+    ends = rows.groupBy(by, "_b").agg((F.max_by("_x", "_p") * end).alias("x"), (F.max_by("_w", "_p") * end).alias("w"))
+    blocks, gone = Window.partitionBy(by).orderBy("_b"), 1 + int(745 / (block * fade))
+    carry = lambda c: sum((F.coalesce(F.lag(c, k).over(blocks), F.lit(0.0)) * math.exp(-block * fade * (k - 1)) for k in range(1, gone + 1)), F.lit(0.0))
+    carried = ends.select(by, "_b", carry("x").alias("_cx"), carry("w").alias("_cw"))
     out = rows.join(carried, [by, "_b"])
-    scale = F.pow(F.lit(decay), "_p")
-    value = (F.col("_x") + F.col("c.x")) * scale / F.nullif((F.col("_w") + F.col("c.w")) * scale, F.lit(0.0))
-    return out.withColumn(name, value).drop("_i", "_b", "_x", "_w", "_p", "c")
+    value = (F.col("_x") + F.col("_cx")) / F.nullif(F.col("_w") + F.col("_cw"), F.lit(0.0))
+    return out.select(*df.columns, value.alias(name)) if name not in df.columns else out.withColumn(name, value).select(*df.columns)
 
 
 def key(*columns: str) -> Column:
@@ -147,10 +153,60 @@ def keep_in(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
 
 
 def weighted_moments(df: DataFrame, by: str, value: str, weight: str) -> DataFrame:
-    """Weighted mean and variance by group, as sums (partial aggregation before the shuffle)."""
+    """Weighted mean and variance by group: the second pass sums squares about the groups' means.
+
+    Groups with a total weight of 0 have neither.
+    """
     w, x = F.col(weight), F.col(value)
-    mean = F.sum(w * x) / F.sum(w)
-    return df.groupBy(by).agg(mean.alias("mean"), (F.sum(w * x * x) / F.sum(w) - mean * mean).alias("variance"), F.sum(w).alias("weight"))
+    means = df.groupBy(by).agg(F.try_divide(F.sum(w * x), F.sum(w)).alias("mean"))
+    about = df.select(F.col(by).alias("_by"), x.alias("_x"), w.alias("_w")).join(means, F.col("_by").eqNullSafe(F.col(by)))
+    gap = F.col("_x") - F.col("mean")
+    # The squares' mean is corrected by that of the gaps, which is 0 but for rounding of the mean.
+    sums = about.groupBy(by).agg(F.first("mean").alias("mean"), F.sum(F.col("_w") * gap).alias("g"), F.sum(F.col("_w") * gap * gap).alias("q"), F.sum("_w").alias("weight"))
+    off = F.try_divide(F.col("g"), F.col("weight"))
+    return sums.select(by, (F.col("mean") + off).alias("mean"), (F.try_divide(F.col("q"), F.col("weight")) - off * off).alias("variance"), "weight")
+
+
+def target_and_exposure(df: DataFrame, family: str, *, claims: str, amount: str, exposure: str) -> DataFrame:
+    """``y`` and ``exposure`` of an insurance portfolio for a family of models.
+
+    Frequencies (Poisson, negative binomial, binomial: whether there was a claim) are by
+    exposure, severities (gamma, inverse Gaussian) by claim and only of rows with one, pure
+    premiums (Tweedie) and the other families are amounts by exposure.
+    """
+    kind = family.split("(")[0].strip().replace(".", "").replace("-", "").replace("_", "").lower()
+    n, total, e = F.col(claims).cast("double"), F.col(amount).cast("double"), F.col(exposure).cast("double")
+    if kind in ("poisson", "negativebinomial"):
+        return df.withColumns({"y": n / e, "exposure": e})
+    if kind == "binomial":
+        return df.withColumns({"y": (n > 0).cast("double"), "exposure": e})
+    if kind in ("gamma", "inversegaussian"):
+        return df.where((n > 0) & (total > 0)).withColumns({"y": total / n, "exposure": n})
+    return df.withColumns({"y": total / e, "exposure": e})
+
+
+def distance_penalty(places: list[tuple[float, float]], exposure: list[float] | None = None, scale: float = 1.0, zeros: int = 0) -> list[list[float]]:
+    """A P2 matrix that draws the coefficients of near places together, after ``zeros`` free ones.
+
+    Places are linked by 1 / distance, and less the more exposure the two have (over the root of
+    its product); the links are shares of the largest times ``scale``. The matrix is the graph's
+    Laplacian, so its penalty is the weighted sum of squared differences. Places at one point
+    are linked by the largest weight.
+    """
+    import numpy as np
+
+    at = np.asarray(places, float).reshape(-1, 2)
+    far = np.hypot(*(at[:, None] - at[None]).transpose(2, 0, 1))
+    link = np.divide(1.0, far, out=np.zeros_like(far), where=far > 0)
+    if exposure is not None:
+        root = np.sqrt(np.asarray(exposure, float))
+        link /= np.outer(root, root)
+    most = link.max(initial=0) or 1.0
+    link[(far == 0) & ~np.eye(len(at), dtype=bool)] = most
+    link *= scale / most
+    out = np.zeros((zeros + len(at),) * 2)
+    out[zeros:, zeros:] = np.diag(link.sum(axis=1)) - link
+    return out.tolist()
 
 
 def exposure_to_weights(df: DataFrame, power: float, y: str, exposure: str, weight: str | None = None) -> DataFrame:
@@ -181,9 +237,13 @@ def bootstrap(df: DataFrame, fraction: float, seed: int) -> DataFrame:
     return df.sample(True, fraction, seed)
 
 
-def swap_noise(df: DataFrame, column: str, share: float, seed: int, order: str) -> DataFrame:
-    """A share of the rows gets another row's value: that of the next row within a random bucket."""
-    w = Window.partitionBy(F.pmod(F.xxhash64(order, F.lit(seed)), F.lit(1024))).orderBy(F.xxhash64(order, F.lit(seed + 1)))
+def swap_noise(df: DataFrame, column: str, share: float, seed: int, order: str, bucket_rows: int = 10_000) -> DataFrame:
+    """A share of the rows gets another row's value: that of the next row within a random bucket.
+
+    There are as many buckets as it takes for about ``bucket_rows`` rows in each.
+    """
+    buckets = 1 + df.count() // bucket_rows
+    w = Window.partitionBy(F.pmod(F.xxhash64(order, F.lit(seed)), F.lit(buckets))).orderBy(F.xxhash64(order, F.lit(seed + 1)))
     chosen = F.pmod(F.xxhash64(order, F.lit(seed + 2)), F.lit(1_000_000)) < int(share * 1_000_000)
     return df.withColumn(column, F.when(chosen, F.coalesce(F.lead(column).over(w), F.col(column))).otherwise(F.col(column)))
 
@@ -209,17 +269,41 @@ def zone_effects(df: DataFrame, zone: str, y: Column, mu: Column, power: float)
     return df.groupBy(zone).agg((F.log(F.sum(y * F.pow(mu, F.lit(1 - power)))) - F.log(F.sum(F.pow(mu, F.lit(2 - power))))).alias("effect"))
 
 
-def kernel_average(zones: DataFrame, zone: str, x: str, y: str, value: str, weight: str, width: float, reach: float = 4.0) -> DataFrame:
-    """Gaussian kernel average of zone values: zones meet those in neighbouring grid cells only.
+def kernel_average(zones: DataFrame, zone: str, x: str, y: str, value: str, weight: str, width: float, reach: float = 4.0, rho: float | None = None) -> DataFrame:
+    """``smooth``: the Gaussian kernel average of the other zones' values, and ``near``, its sum of weights.
 
-    Cells are ``reach * width`` wide, beyond which a weight is below 4e-4 of the largest.
+    Zones meet those in neighbouring grid cells only: the kernel is cut ``reach`` widths away,
+    where it is below 4e-4 of its largest value. A zone with no other so near takes the first
+    reach among the doubled ones that has some, so only a zone alone in the table has a null.
+    With ``rho`` a zone's own value is mixed in by the share ``(own weight / near) ** rho``.
     """
-    cell = reach * width
-    a = zones.withColumns({"_cx": F.floor(F.col(x) / cell), "_cy": F.floor(F.col(y) / cell)})
+    kept = [F.col(zone).alias("_zone"), F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"), F.col(value).cast("double").alias("_v"), F.col(weight).cast("double").alias("_w")]
+    all_ = zones.select(*kept)
+    span = all_.agg(F.max("_x") - F.min("_x"), F.max("_y") - F.min("_y"), F.count("*")).first()
+    todo, out, far = all_, None, reach * width
+    while True:
+        found = _neighbours(todo, all_, far, width)
+        out = found if out is None else out.unionByName(found)
+        if not span[2] or far > max(span[0], span[1]):
+            break
+        todo = todo.join(found.select("_zone"), "_zone", "left_anti")
+        if not todo.limit(1).count():
+            break
+        far *= 2
+    joined = all_.join(out, "_zone", "left")
+    share = F.lit(0.0) if rho is None else F.pow(F.col("_w") / F.col("near"), F.lit(rho))
+    return joined.select(F.col("_zone").alias(zone), (share * F.col("_v") + (1 - share) * F.col("average")).alias("smooth"), "near")
+
+
+def _neighbours(some: DataFrame, zones: DataFrame, far: float, width: float) -> DataFrame:
+    """``_zone, average, near`` of the zones of ``some`` that have others at most ``far`` away."""
+    cell = lambda c: F.floor(F.col(c) / far)
     near = F.array(*(F.lit(k) for k in (-1, 0, 1)))
-    b = a.select(F.col(zone).alias("_z"), F.col(x).alias("_x"), F.col(y).alias("_y"), F.col(value).alias("_v"), F.col(weight).alias("_w"), "_cx", "_cy")
-    b = b.withColumn("_dx", F.explode(near)).withColumn("_dy", F.explode(near)).withColumns({"_cx": F.col("_cx") + F.col("_dx"), "_cy": F.col("_cy") + F.col("_dy")})
-    both = a.join(b, ["_cx", "_cy"])
-    far = F.pow(F.col(x) - F.col("_x"), F.lit(2.0)) + F.pow(F.col(y) - F.col("_y"), F.lit(2.0))
-    k = F.when(far <= cell * cell, F.exp(-far / (2 * width * width)) * F.col("_w")).otherwise(0.0)
-    return both.groupBy(zone).agg((F.sum(k * F.col("_v")) / F.sum(k)).alias("smooth"))
+    other = zones.select(*(F.col(c).alias(f"{c}2") for c in ("_zone", "_x", "_y", "_v", "_w")), F.explode(near).alias("_dx"), cell("_x").alias("_cx"), cell("_y").alias("_cy"))
+    other = other.withColumn("_dy", F.explode(near)).withColumns({"_cx": F.col("_cx") + F.col("_dx"), "_cy": F.col("_cy") + F.col("_dy")}).drop("_dx", "_dy")
+    both = some.withColumns({"_cx": cell("_x"), "_cy": cell("_y")}).join(other, ["_cx", "_cy"])
+    square = F.pow(F.col("_x") - F.col("_x2"), F.lit(2.0)) + F.pow(F.col("_y") - F.col("_y2"), F.lit(2.0))
+    both = both.where((F.col("_zone") != F.col("_zone2")) & (square <= far * far))
+    k = F.exp(-square / (2 * width * width)) * F.col("_w2")
+    sums = both.groupBy("_zone").agg(F.sum(k * F.col("_v2")).alias("s"), F.sum(k).alias("near"))
+    return sums.where("near > 0").select("_zone", (F.col("s") / F.col("near")).alias("average"), "near")

@@ -106,10 +106,21 @@ def prep_semi_isin(spark, sf_dir):
     return prep.keep_in(table(spark, sf_dir, "orders").select("o_custkey", "o_orderstatus"), keys, "o_custkey").groupBy("o_orderstatus").agg(F.count("*").alias("n"))
 
 
-@query("SELECT l_returnflag, round(sum(l_quantity * l_extendedprice) / sum(l_quantity), 4) AS mean, round((sum(l_quantity * l_extendedprice * l_extendedprice) / sum(l_quantity) - (sum(l_quantity * l_extendedprice) / sum(l_quantity)) ^ 2) / 1000, 2) AS variance, sum(l_quantity) AS weight FROM lineitem GROUP BY 1")
+@query("WITH m AS (SELECT l_returnflag, sum(l_quantity * l_extendedprice) / sum(l_quantity) AS m, sum(l_quantity) AS w FROM lineitem GROUP BY 1) SELECT l_returnflag, round(max(m), 4) AS mean, round(sum(l_quantity * (l_extendedprice - m) ^ 2) / max(w), 2) AS variance, max(w) AS weight FROM lineitem JOIN m USING (l_returnflag) GROUP BY 1")
 def prep_weighted_var(spark, sf_dir):
     out = prep.weighted_moments(table(spark, sf_dir, "lineitem"), "l_returnflag", "l_extendedprice", "l_quantity")
-    return out.select("l_returnflag", F.round("mean", 4).alias("mean"), F.round(F.col("variance") / 1000, 2).alias("variance"), "weight")
+    return out.select("l_returnflag", F.round("mean", 4).alias("mean"), F.round("variance", 2).alias("variance"), "weight")
+
+
+@query("WITH f AS (SELECT 'poisson' AS family, l_quantity / (1 + l_discount) AS y, 1 + l_discount AS e FROM lineitem UNION ALL SELECT 'gamma', l_extendedprice / l_quantity, l_quantity FROM lineitem UNION ALL SELECT 'tweedie', l_extendedprice / (1 + l_discount), 1 + l_discount FROM lineitem UNION ALL SELECT 'binomial', 1.0, 1 + l_discount FROM lineitem) SELECT family, count(*) AS n, round(sum(y * e) / sum(e), 4) AS mean FROM f GROUP BY 1")
+def prep_target_exposure(spark, sf_dir):
+    """Target and exposure of each family; their weighted mean is the portfolio's."""
+    rows = table(spark, sf_dir, "lineitem").selectExpr("l_quantity n", "l_extendedprice a", "1 + l_discount e")
+    out = None
+    for family in ("poisson", "gamma", "tweedie", "binomial"):
+        made = prep.target_and_exposure(rows, family, claims="n", amount="a", exposure="e").agg(F.lit(family).alias("family"), F.count("*").alias("n"), F.round(F.sum(F.col("y") * F.col("exposure")) / F.sum("exposure"), 4).alias("mean"))
+        out = made if out is None else out.union(made)
+    return out
 
 
 @query("SELECT l_returnflag, round(sum(l_extendedprice / l_quantity), 2) AS rate, round(sum(sqrt(l_quantity)), 4) AS weight FROM lineitem GROUP BY 1")
@@ -143,10 +154,12 @@ def prep_zone_effects(spark, sf_dir):
     return out.select("l_returnflag", F.round("effect", 6).alias("effect"))
 
 
-@query("WITH z AS (SELECT p_partkey z, p_size::DOUBLE x, p_retailprice / 100 y, p_retailprice v, 1.0 w FROM part) SELECT a.z AS zone, round(sum(exp(-((a.x - b.x) ^ 2 + (a.y - b.y) ^ 2) / 8) * b.v) / sum(exp(-((a.x - b.x) ^ 2 + (a.y - b.y) ^ 2) / 8)), 4) AS smooth FROM z a JOIN z b ON (a.x - b.x) ^ 2 + (a.y - b.y) ^ 2 <= 64 GROUP BY 1")
+@query("""WITH z AS (SELECT p_partkey z, p_size::DOUBLE x, p_retailprice / 100 y, p_retailprice v, p_size::DOUBLE w FROM part),
+k AS (SELECT a.z, max(a.v) v, max(a.w) w, sum(exp(-((a.x - b.x) ^ 2 + (a.y - b.y) ^ 2) / 8) * b.w * b.v) s, sum(exp(-((a.x - b.x) ^ 2 + (a.y - b.y) ^ 2) / 8) * b.w) n FROM z a JOIN z b ON a.z <> b.z AND (a.x - b.x) ^ 2 + (a.y - b.y) ^ 2 <= 64 GROUP BY 1)
+SELECT z AS zone, round(sqrt(w / n) * v + (1 - sqrt(w / n)) * s / n, 4) AS smooth FROM k""")
 def prep_kernel_average(spark, sf_dir):
-    zones = table(spark, sf_dir, "part").selectExpr("p_partkey zone", "CAST(p_size AS DOUBLE) x", "p_retailprice / 100 y", "p_retailprice v", "1.0D w")
-    return prep.kernel_average(zones, "zone", "x", "y", "v", "w", 2.0).select("zone", F.round("smooth", 4).alias("smooth"))
+    zones = table(spark, sf_dir, "part").selectExpr("p_partkey zone", "CAST(p_size AS DOUBLE) x", "p_retailprice / 100 y", "p_retailprice v", "CAST(p_size AS DOUBLE) w")
+    return prep.kernel_average(zones, "zone", "x", "y", "v", "w", 2.0, rho=0.5).select("zone", F.round("smooth", 4).alias("smooth"))
 
 
 @query("SELECT round(sqrt(avg(((l_extendedprice - 900 * l_quantity) / l_extendedprice) ^ 2)), 6) AS rmspe FROM lineitem")
