@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import logging
 import math
 import numbers
 import warnings
@@ -32,6 +33,10 @@ class WaldTestResult(NamedTuple):
 def _column(c, default) -> Column:
     if c is None:
         return F.lit(float(default))
+    if not isinstance(c, (numbers.Real, Column, str)):
+        raise TypeError(f"a response, weight or offset is a column's name, a Column or a number; got {type(c).__name__}")
+    if isinstance(c, numbers.Real) and not math.isfinite(c):
+        raise ValueError(f"a weight or offset must be finite; got {c}")
     return F.lit(float(c)) if isinstance(c, numbers.Real) else (c if isinstance(c, Column) else F.col(f"`{c}`")).cast("double")
 
 
@@ -67,6 +72,22 @@ class GeneralizedLinearRegressor:
             setattr(self, name, value)
         return self
 
+    @property
+    def family_instance(self):
+        """The family as an object, also before a fit."""
+        return getattr(self, "family_instance_", None) or get_family(self.family)
+
+    @property
+    def link_instance(self):
+        return getattr(self, "link_instance_", None) or get_link(self.link, self.family_instance)
+
+    @property
+    def categorical_levels_(self) -> dict[str, list[str]]:
+        """The levels of each categorical variable of the fitted design."""
+        if not hasattr(self, "design_"):
+            raise AttributeError("the model has no levels before a fit")
+        return {f.variable: list(map(str, f.levels)) for f in self.design_.factors() if f.categorical}
+
     # -- checks ------------------------------------------------------------------------
 
     def _validate(self):
@@ -81,6 +102,14 @@ class GeneralizedLinearRegressor:
         demand(positive(self.max_iter), ValueError, f"Maximum number of iterations must be a positive integer; got max_iter={self.max_iter!r}")
         demand(self.gradient_tol is None or number(self.gradient_tol) and self.gradient_tol > 0, ValueError, "Tolerance for the gradient stopping criteria must be positive")
         demand(self.step_size_tol is None or number(self.step_size_tol) and self.step_size_tol > 0, ValueError, "Tolerance for the step-size stopping criteria must be positive")
+        demand(positive(self.max_inner_iter), ValueError, f"max_inner_iter must be a positive integer; got {self.max_inner_iter!r}")
+        demand(number(self.hessian_approx) and 0 <= self.hessian_approx <= 1, ValueError, f"hessian_approx must be a number in interval [0, 1]; got {self.hessian_approx!r}")
+        demand(positive(self.n_alphas), ValueError, f"n_alphas must be a positive integer; got {self.n_alphas!r}")
+        demand(self.min_alpha_ratio is None or number(self.min_alpha_ratio) and 0 < self.min_alpha_ratio < 1, ValueError, f"min_alpha_ratio must be a number between 0 and 1; got {self.min_alpha_ratio!r}")
+        demand(self.min_alpha is None or number(self.min_alpha) and self.min_alpha > 0, ValueError, f"min_alpha must be a positive number; got {self.min_alpha!r}")
+        demand(self.random_state is None or isinstance(self.random_state, numbers.Integral), TypeError, f"random_state must be None or an integer; got {self.random_state!r}")
+        demand(isinstance(self.force_all_finite, bool), TypeError, f"force_all_finite must be bool; got {self.force_all_finite!r}")
+        demand(isinstance(self.verbose, (bool, numbers.Integral)) and self.verbose >= 0, ValueError, f"verbose must be a non-negative integer; got {self.verbose!r}")
         demand(isinstance(self.warm_start, bool), TypeError, f"The argument warm_start must be bool; got {self.warm_start}")
         demand(self.selection in ("cyclic", "random"), ValueError, f"The argument selection must be 'cyclic' or 'random'; got {self.selection!r}")
         demand(self.copy_X is None or isinstance(self.copy_X, bool), TypeError, f"The argument copy_X must be None or bool; got {self.copy_X}")
@@ -158,7 +187,7 @@ class GeneralizedLinearRegressor:
         self._profile = {"constant": got["low"] == got["high"], "centres": {k: got[f"mean_{k}"] for k in places} if means or not places else None}
         if not got["n"]:
             raise ValueError("Found array with 0 sample(s) while a minimum of 1 is required.")
-        if got["bad"]:
+        if got["bad"] and self.force_all_finite:
             raise ValueError("Input contains NaN, infinity or a null value.")
         if got["least_w"] < 0:
             raise ValueError("Sample weights must be non-negative.")
@@ -184,7 +213,15 @@ class GeneralizedLinearRegressor:
         k = len(self.feature_names_)
         lower = upper = None
         if self.lower_bounds is not None or self.upper_bounds is not None:
-            full = lambda x, d: np.broadcast_to(np.asarray(d if x is None else x, float), (k,)) if x is None or np.ndim(x) == 0 or len(x) == k else np.asarray(D.expand_penalty(list(x), self.source_, self.design_), float)
+
+            def full(x, default):
+                if x is None or np.ndim(x) == 0:
+                    return np.full(k, default if x is None else float(x))
+                x = np.asarray(D.expand_penalty(list(x), self.source_, self.design_) if len(x) != k else x, float)
+                if x.shape != (k,) or np.isnan(x).any():
+                    raise ValueError(f"bounds must be numbers or have a value for each of the {k} columns, infinite ones where there is none")
+                return x
+
             lower, upper = full(self.lower_bounds, -np.inf), full(self.upper_bounds, np.inf)
             if (lower > upper).any():
                 raise ValueError("Upper bounds must be higher than lower bounds.")
@@ -247,14 +284,26 @@ class GeneralizedLinearRegressor:
         return beta
 
     def _guess(self, m: dict) -> float:
+        """The intercept that fits best beside the offset alone, as far as a closed form says so.
+
+        Under a log link that is the log of a ratio of two sums with the powers of exp(offset) that
+        the family's variance asks for; under the others the mean's link less the mean offset.
+        """
         y, o, link = m["y"], m["offset"], self.link_instance_
         if isinstance(link, (LogLink, LogitLink, CloglogLink)) and m.get("constant"):
             raise ValueError("No variation in `y`. Coefficients can't be estimated.")
         mean = np.float64(y)
+        if isinstance(link, LogLink) and m.get("log_start") is not None and math.isfinite(m["log_start"]):
+            return m["log_start"]
         if isinstance(self.family_instance_, BinomialFamily) or isinstance(link, (LogitLink, CloglogLink)):
             mean = np.clip(mean, 1e-10, 1 - 1e-10)
         return float(link.link(mean)) - o if link != IdentityLink() else float(mean) - o
 
+    def _log_power(self) -> float | None:
+        """The power of the family's variance, 1 if it is no power; None under other links than the log."""
+        p = getattr(self.family_instance_, "p", None)
+        return (1.0 if p is None else float(p)) if isinstance(self.link_instance_, LogLink) else None
+
     def _moments(self, coded, folds=0) -> list[dict]:
         known = getattr(self, "_profile", None) if self.check_input else None
         if self.fit_intercept:
@@ -264,7 +313,7 @@ class GeneralizedLinearRegressor:
                     coded.centres[place] = mean
             else:
                 coded.centres = moments.column_moments(coded, 0)[0]["mean"]
-        out = moments.column_moments(coded, folds)  # the second moments about the means
+        out = moments.column_moments(coded, folds, self._log_power())  # the second moments about the means
         out[0]["mean"][coded.dense_places()] = coded.centres[coded.dense_places()] if self.fit_intercept else out[0]["mean"][coded.dense_places()]
         if not isinstance(self.link_instance_, IdentityLink):
             if known is None:
@@ -277,7 +326,7 @@ class GeneralizedLinearRegressor:
 
     def fit(self, df: DataFrame, y=None, sample_weight=None, offset=None, *, features=None, store_covariance_matrix=False, clusters=None, context=None):
         """Fit to the rows of ``df``; columns are given by name, weight and offset also as numbers."""
-        coded = self._prepare(df, y, sample_weight, offset, features, context)
+        coded = self._prepare(df, y, sample_weight, offset, features, M.captured(context))
         self._args = {"y": y, "sample_weight": sample_weight, "offset": offset}
         self.covariance_matrix_, self._info = None, {}
         try:
@@ -302,6 +351,7 @@ class GeneralizedLinearRegressor:
             self.intercept_path_ = np.array([i if self.fit_intercept else 0.0 for i, _ in outward])
             self.coef_path_ = np.array([c for _, c in outward])
             self.intercept_, self.coef_ = float(self.intercept_path_[-1]), self.coef_path_[-1]
+            self._log()
             if store_covariance_matrix:
                 self.covariance_matrix(df, y, sample_weight, offset, clusters=clusters, store_covariance_matrix=True, context=context)
         finally:
@@ -379,7 +429,7 @@ class GeneralizedLinearRegressor:
     def score(self, df: DataFrame, y=None, sample_weight=None, offset=None) -> float:
         """Share of the deviance of the mean model that the model explains."""
         rows, f = self._with_mu(df, y, sample_weight, offset), self.family_instance_
-        mean = rows.agg(F.sum(F.col("w") * F.col("y")) / F.sum("w")).first()[0]
+        mean = df.agg((F.sum(_column(sample_weight, 1) * self._y(df, y)) / F.sum(_column(sample_weight, 1))).alias("m")).first().m
         got = rows.agg(f.deviance(F.col("y"), F.col("mu"), F.col("w")).alias("d"), f.deviance(F.col("y"), F.lit(float(mean)), F.col("w")).alias("n")).first()
         return 1 - got.d / got.n
 
@@ -449,46 +499,52 @@ class GeneralizedLinearRegressor:
 
     def _cluster_meat(self, coded, coef):
         """Number of clusters and the sum of outer products of their scores: scores are summed
-        within tasks before they are dealt by cluster, so a hot cluster moves one row a task."""
+        within batches before they are dealt by cluster, so a hot cluster moves one row a batch."""
         import pyarrow as pa
 
         k, layout, centres, family, link = len(coef), coded.layout, coded.centres, self.family_instance_, self.link_instance_
 
+        def by_key(keys: pa.Array, scores: np.ndarray):
+            """The sum of scores of each key, in the order of its first row."""
+            coded_keys = keys.dictionary_encode()
+            at = coded_keys.indices.fill_null(len(coded_keys.dictionary)).to_numpy(zero_copy_only=False)
+            order = np.argsort(at, kind="stable")
+            firsts = np.flatnonzero(np.diff(at[order], prepend=-1))
+            sums = np.add.reduceat(scores[order], firsts, axis=0) if len(firsts) else scores[:0]
+            names = coded_keys.dictionary.to_pylist()
+            return [names[k] if k < len(names) else None for k in at[order][firsts].tolist()], sums
+
         def partial(batches):
-            sums: dict = {}
             for batch in batches:
-                rows = moments.batch_rows(batch, layout, centres)
-                eta = rows.predictor(coef)
-                s = rows.scores(family.score_weight(link, rows.y, eta, link.inverse(eta), rows.w))
-                coded_keys = batch.column("cluster").dictionary_encode()
-                at = coded_keys.indices.fill_null(-1).to_numpy(zero_copy_only=False)
-                for i, name in enumerate(coded_keys.dictionary.to_pylist()):
-                    sums[name] = sums.get(name, 0) + s[at == i].sum(axis=0)
-                if len(sums) > 10_000:
-                    yield _keyed(sums)
-                    sums = {}
-            yield _keyed(sums)
-
-        def _keyed(sums):
-            return pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([v.tolist() for v in sums.values()], pa.list_(pa.float64()))], ["cluster", "s"])
-
-        def outer(batch):
-            out: dict = {}
-            for name, s in zip(batch.column("cluster").to_pylist(), batch.column("s").to_pylist()):
-                out[name] = out.get(name, 0) + np.array(s)
-            return out
+                if batch.num_rows:
+                    rows = moments.batch_rows(batch, layout, centres)
+                    eta = rows.predictor(coef)
+                    names, sums = by_key(batch.column("cluster"), rows.scores(family.score_weight(link, rows.y, eta, link.inverse(eta), rows.w)))
+                    yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), _lists(sums)], ["cluster", "s"])
+
+        def _lists(rows: np.ndarray):
+            return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * k), pa.array(rows.ravel()))
 
         def squares(batches):
-            sums: dict = {}
+            """Rows sorted by cluster: only the one that may go on is held."""
+            groups, total = 0, np.zeros((k, k))
+            name, held = None, None
             for batch in batches:
-                for name, s in outer(batch).items():
-                    sums[name] = sums.get(name, 0) + s
-            total = np.zeros((k, k))
-            for s in sums.values():
-                total += np.outer(s, s)
-            yield pa.RecordBatch.from_arrays([pa.array([len(sums)]), pa.array([total.ravel().tolist()], pa.list_(pa.float64()))], ["n", "m"])
-
-        parts = coded.table.mapInArrow(partial, "cluster string, s array<double>").repartition("cluster").mapInArrow(squares, "n long, m array<double>").collect()
+                if not batch.num_rows:
+                    continue
+                names, sums = by_key(batch.column("cluster"), batch.column("s").flatten().to_numpy().reshape(-1, k))
+                if held is not None and names[0] == name:
+                    sums[0] += held
+                elif held is not None:
+                    groups, total = groups + 1, total + np.outer(held, held)
+                groups, total = groups + len(names) - 1, total + sums[:-1].T @ sums[:-1]
+                name, held = names[-1], sums[-1]
+            if held is not None:
+                groups, total = groups + 1, total + np.outer(held, held)
+            yield pa.RecordBatch.from_arrays([pa.array([groups]), pa.array([total.ravel().tolist()], pa.list_(pa.float64()))], ["n", "m"])
+
+        schema = "cluster string, s array<double>"
+        parts = coded.table.mapInArrow(partial, schema).repartition("cluster").sortWithinPartitions("cluster").mapInArrow(squares, "n long, m array<double>").collect()
         return sum(p.n for p in parts), sum(np.array(p.m) for p in parts).reshape(k, k)
 
     def std_errors(self, *args, **kwargs) -> np.ndarray:
@@ -586,6 +642,12 @@ class GeneralizedLinearRegressor:
     def report_diagnostics(self, spark, full_report=False, custom_columns=None) -> None:
         self.get_formatted_diagnostics(spark, full_report, custom_columns).show(1000, truncate=False)
 
+    def _log(self) -> None:
+        """With ``verbose`` the iterations go to the log."""
+        if self.verbose:
+            for row in self.diagnostics_:
+                logging.getLogger("fathom").info("iteration %(n_iter)d: objective %(objective_fct).10g, convergence %(convergence).3g", row)
+
     def export(self, spark) -> DataFrame:
         """The model as rows ``alpha_index, alpha, term, feature, coef``."""
         rows = []

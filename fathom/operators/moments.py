@@ -92,6 +92,8 @@ class Coded:
     table: DataFrame
     layout: list[tuple[str | None, str | None, int]]
     centres: np.ndarray = field(default_factory=lambda: np.empty(0))
+    #: Whether ``fold`` holds bits for training and testing in each split, not the number of a row's fold.
+    pairs: bool = False
 
     @property
     def width(self) -> int:
@@ -176,13 +178,18 @@ class Answer:
     hessian: np.ndarray | None = None
 
 
+def _chosen(fold: np.ndarray, number: int, test: bool, pairs: bool) -> np.ndarray:
+    """The rows that train split ``number``, or test it."""
+    return (fold.astype(np.int64) >> (2 * number + test)) & 1 == 1 if pairs else (fold == number) == test
+
+
 def evaluate(coded: Coded, family, link, requests: list[Request]) -> list[Answer]:
     """One pass over the rows that answers every request.
 
     Coefficients are for the centred dense columns, intercept first. With a fold a request sees
     the rows outside of it, with ``test`` those inside. Weights are as the table has them.
     """
-    layout, centres, k = coded.layout, coded.centres, coded.width + 1
+    layout, centres, k, pairs = coded.layout, coded.centres, coded.width + 1, coded.pairs
     sizes = [2 * len(r.coefs) + (k if r.slope else 0) + (k * k if r.slope == "hessian" else 0) for r in requests]
     packed = [(np.array(r.coefs), r.slope, r.fold, r.test) for r in requests]
 
@@ -192,7 +199,7 @@ def evaluate(coded: Coded, family, link, requests: list[Request]) -> list[Answer
         for coefs, slope, fold, test in packed:
             rows, keep = whole, None
             if fold is not None:
-                keep = (whole.fold == fold) == test
+                keep = _chosen(whole.fold, fold, test, pairs)
             for n, coef in enumerate(coefs):
                 eta = rows.predictor(coef)
                 with np.errstate(all="ignore"):
@@ -221,37 +228,44 @@ def evaluate(coded: Coded, family, link, requests: list[Request]) -> list[Answer
     return answers
 
 
-def column_moments(coded: Coded, folds: int = 0) -> list[dict]:
+def column_moments(coded: Coded, folds: int = 0, log_power: float | None = None) -> list[dict]:
     """Weighted moments of all design columns: of all rows, then of each fold's training rows.
 
-    Each has ``weight``, ``mean``, ``std``, ``y``, ``offset`` and ``rows``; standard deviations
-    are of the population. Dense columns are shifted by their first non-null value's batch mean
-    on the driver side only through ``centres``, so call it again with centres for wide scales.
+    Each has ``weight``, ``mean``, ``std``, ``y``, ``offset`` and ``rows``, those of folds also
+    ``test_weight``; standard deviations are of the population. Dense columns are taken about
+    ``centres``, so call it again with the means as centres for wide scales. With ``log_power``
+    p there is ``log_start`` as well: the best intercept beside the offset under a log link and a
+    variance of the mean to the power p.
     """
-    layout, k = coded.layout, coded.width
+    layout, k, pairs = coded.layout, coded.width, coded.pairs
     centres = coded.centres if len(coded.centres) else np.zeros(k)
-    size = 2 * k + 4
+    size = 2 * k + 7
+    power = 1.0 if log_power is None else log_power
 
     def partial(batch):
         rows = batch_rows(batch, layout, centres)
         out = []
-        for f in range(max(1, folds)):
-            w = rows.w if not folds else np.where(rows.fold == f, rows.w, 0.0)
+        for f in range(-1, folds):
+            w = rows.w if f < 0 else np.where(_chosen(rows.fold, f, False, pairs), rows.w, 0.0)
             first = rows.gradient(w)[1:]
             second = np.zeros(k)
             if rows.places:
                 second[rows.places] = w @ (rows.dense * rows.dense)
             for code, value, wide, at in rows.codes:
                 second[at : at + wide] = np.bincount(code + 1, w if value is None else w * value * value, wide + 1)[1:]
-            out += [first, second, [w.sum(), (w * rows.y).sum(), (w * rows.offset).sum(), float((w > 0).sum()) if folds else float(len(w))]]
+            tested = rows.w[_chosen(rows.fold, f, True, pairs)].sum() if f >= 0 else 0.0
+            with np.errstate(over="ignore"):
+                logs = [(w * rows.y * np.exp((1 - power) * rows.offset)).sum(), (w * np.exp((2 - power) * rows.offset)).sum()] if log_power is not None else [0.0, 0.0]
+            out += [first, second, [w.sum(), (w * rows.y).sum(), (w * rows.offset).sum(), float((w > 0).sum()) if folds else float(len(w)), tested, *logs]]
         return np.concatenate(out)
 
-    sums = summed(coded.table, partial, size * max(1, folds)).reshape(-1, size)
     out = []
-    for s in [sums.sum(axis=0), *((sums.sum(axis=0) - f) for f in sums[: folds or 0])]:
-        weight = s[-4] or 1.0
+    for s in summed(coded.table, partial, size * (1 + folds)).reshape(-1, size):
+        total, y, offset, rows, tested, first, second = s[2 * k :]
+        weight = total or 1.0
         mean = s[:k] / weight
-        out.append({"weight": s[-4], "mean": mean + centres, "std": np.sqrt(np.maximum(s[k : 2 * k] / weight - mean * mean, 0.0)), "y": s[-3] / weight, "offset": s[-2] / weight, "rows": s[-1]})
+        start = math.log(first / second) if first > 0 and second > 0 else None
+        out.append({"weight": total, "mean": mean + centres, "std": np.sqrt(np.maximum(s[k : 2 * k] / weight - mean * mean, 0.0)), "y": y / weight, "offset": offset / weight, "rows": rows, "test_weight": tested, "log_start": start})
     return out
 
 

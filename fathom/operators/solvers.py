@@ -298,12 +298,55 @@ def lbfgs(problem: Problem, start: np.ndarray, memory: int = 10):
     return beta, n, converged
 
 
+def trust_region(problem: Problem, start: np.ndarray):
+    """Newton steps no longer than a radius that follows how well the quadratic model predicts.
+
+    A step solves (H + shift) d = score with the least shift that keeps it inside the radius, by
+    the eigenvalues of H; each step costs one pass, and rejected ones shrink the radius only.
+    """
+    p, beta = problem, start
+    own = slice(0 if p.space.intercept else 1, len(start))
+    answer = (yield [p.ask([beta])])[0]
+    objective, score, h = p.objective(answer.deviances[0], beta), p.score(answer, beta), p.curvature(answer)
+    radius, n, converged = 1.0, 0, np.abs(score[own]).max() < p.gradient_tol
+    while n < p.max_iter and not converged and radius > 1e-14:
+        n += 1
+        values, vectors = np.linalg.eigh(h[own, own])
+        along_ = vectors.T @ score[own]
+        length = lambda shift: np.linalg.norm(along_ / np.maximum(values + shift, EPS))
+        shift = max(0.0, -values[0] + EPS)
+        if length(shift) > radius:
+            low, high = shift, shift + np.linalg.norm(along_) / radius
+            for _ in range(100):
+                shift = (low + high) / 2
+                low, high = (shift, high) if length(shift) > radius else (low, shift)
+            shift = high
+        step = np.zeros_like(beta)
+        step[own] = vectors @ (along_ / np.maximum(values + shift, EPS))
+        promised = score @ step - 0.5 * step @ h @ step
+        tried = (yield [p.ask([beta + step])])[0]
+        gain = objective - p.objective(tried.deviances[0], beta + step) if tried.largest[0] == 0 else -np.inf
+        ratio = gain / promised if promised > 16 * EPS * abs(objective) else float(gain >= -16 * EPS * abs(objective))
+        size = np.linalg.norm(step)
+        radius = size / 4 if ratio < 0.25 else max(radius, 2 * size) if ratio > 0.75 else radius
+        if ratio > 1e-4:
+            beta = beta + step
+            objective, score, h = p.objective(tried.deviances[0], beta), p.score(tried, beta), p.curvature(tried)
+            converged = np.abs(score[own]).max() < p.gradient_tol or (p.step_size_tol is not None and size < p.step_size_tol)
+        p.diagnostics.append(_row(p, n, np.abs(score[own]).max(), objective, beta, step if ratio > 1e-4 else None, len(beta), 0, 0))
+    if not converged:
+        warnings.warn(f"the trust-region steps failed to converge within {p.max_iter} iterations", ConvergenceWarning, stacklevel=2)
+    return beta, n, converged
+
+
 def solver(name: str, problem: Problem, start: np.ndarray):
     if name == "closed-form":
         return closed_form(problem, start)
     if name == "lbfgs":
         return lbfgs(problem, start)
-    inner = {"irls-ls": "ls", "irls-cd": "cd", "trust-constr": "qp" if problem.a is not None else "cd" if problem.p1.any() else "ls", "irls-ls-monotonic": "qp"}[name]
+    if name == "trust-constr" and problem.a is None and problem.lower is None and not problem.p1.any():
+        return trust_region(problem, start)
+    inner = {"irls-ls": "ls", "irls-cd": "cd", "trust-constr": "qp" if problem.a is not None else "cd", "irls-ls-monotonic": "qp"}[name]
     return irls(problem, start, inner)
 
 

@@ -316,7 +316,7 @@ def alpha_grid(spark, sf_dir):
 
 @query("WITH r AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 i, count(*) OVER () n FROM orders) SELECT CAST(CASE WHEN i < (n % 7) * (n // 7 + 1) THEN i // (n // 7 + 1) ELSE n % 7 + (i - (n % 7) * (n // 7 + 1)) // (n // 7) END AS INTEGER) AS fold, count(*) AS n, min(o_orderkey) AS first, max(o_orderkey) AS last FROM r GROUP BY 1")
 def kfold_assignment(spark, sf_dir):
-    out = fold_column(table(spark, sf_dir, "orders").select("o_orderkey"), 7, "o_orderkey")
+    out, _ = fold_column(table(spark, sf_dir, "orders").select("o_orderkey"), 7, "o_orderkey")
     return out.groupBy(F.col("_fold").alias("fold")).agg(F.count("*").alias("n"), F.min("o_orderkey").alias("first"), F.max("o_orderkey").alias("last"))
 
 

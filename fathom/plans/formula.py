@@ -4,22 +4,37 @@ from __future__ import annotations
 
 import ast
 import re
+import sys
 from itertools import combinations
 
 import numpy as np
+from numpy.polynomial import polynomial as P
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .design import Design, Factor, make_factors
 
-_TOKEN = re.compile(r"\s*(?:(\{[^}]*\})|(`[^`]*`)|([A-Za-z_][\w.]*)|(\d+\.?\d*)|([-+*:()~,=]|\*\*))")
+_TOKEN = re.compile(r"\s*(?:(\{[^}]*\})|(`[^`]*`)|([A-Za-z_][\w.]*)|(\d+\.?\d*)|(\*\*|[-+*:()~,=]))")
 #: Functions of NumPy that formulas may use, by their Spark counterparts.
 FUNCTIONS = {"log": F.ln, "exp": F.exp, "sqrt": F.sqrt, "log1p": F.log1p, "expm1": F.expm1, "log10": F.log10, "log2": F.log2, "abs": F.abs, "sin": F.sin, "cos": F.cos, "tanh": F.tanh, "floor": F.floor, "ceil": F.ceil}
 _OPERATORS = {ast.Add: lambda a, b: a + b, ast.Sub: lambda a, b: a - b, ast.Mult: lambda a, b: a * b, ast.Div: lambda a, b: a / b, ast.Pow: lambda a, b: F.pow(a, b), ast.Mod: lambda a, b: a % b}
 _COMPARE = {ast.Gt: lambda a, b: a > b, ast.GtE: lambda a, b: a >= b, ast.Lt: lambda a, b: a < b, ast.LtE: lambda a, b: a <= b, ast.Eq: lambda a, b: a == b, ast.NotEq: lambda a, b: a != b}
 
 
+def captured(context, depth: int = 1) -> dict | None:
+    """The names that a formula may use beside columns: a mapping, or how many calls up they are.
+
+    0 are the names where the method was called, 1 those of its caller, and so on.
+    """
+    if context is None or isinstance(context, dict):
+        return context
+    if not isinstance(context, int) or isinstance(context, bool):
+        raise TypeError("context must be a mapping of names or a number of calls")
+    frame = sys._getframe(depth + 1 + context)
+    return {**frame.f_globals, **frame.f_locals}
+
+
 def expression(source: str, columns: list[str], context: dict | None = None) -> Column:
     """A Python expression over columns as a Column; names of ``context`` may be values or functions of Columns."""
     context = context or {}
@@ -101,10 +116,28 @@ class _Parser:
         return left
 
     def interaction(self):
-        left = self.atom()
+        left = self.power()
         while self.peek() == ":":
             self.take()
-            left = [_merged(a, b) for a in left for b in self.atom()]
+            left = [_merged(a, b) for a in left for b in self.power()]
+        return left
+
+    def power(self):
+        """``(a + b) ** 2``: the terms and their interactions of up to so many of them."""
+        left = self.atom()
+        while self.peek() == "**":
+            self.take()
+            order = self.take()
+            if not order.isdigit() or int(order) < 1:
+                raise ValueError(f"the power of the formula must be a positive integer; got {order!r}")
+            out = []
+            for size in range(1, int(order) + 1):
+                for chosen in combinations(left, size):
+                    term = ()
+                    for t in chosen:
+                        term = _merged(term, t)
+                    out += [term] if term not in out else []
+            left = out
         return left
 
     def atom(self):
@@ -158,25 +191,42 @@ def knots(df: DataFrame, x: Column, count: int) -> tuple[float, list[float], flo
 
 
 def bspline(x: Column, low: float, inner: list[float], high: float, degree: int = 3) -> list[Column]:
-    """B-spline basis functions of a column, as nested piecewise-linear recursions in SQL."""
+    """B-spline basis functions of a column, each a choice among polynomials by the interval of ``x``.
+
+    The recursion runs on polynomial coefficients here, so a function is at most degree + 1
+    polynomials in the plan. Outside of the outer knots all functions are 0.
+    """
     t = [low] * (degree + 1) + list(inner) + [high] * (degree + 1)
-    n = len(t) - 1
-    basis = []
-    for k in range(n):
-        last = t[k] < t[k + 1] == high
-        inside = (x >= t[k]) & ((x <= t[k + 1]) if last else (x < t[k + 1])) if t[k] < t[k + 1] else F.lit(False)
-        basis.append(F.when(inside, 1.0).otherwise(0.0))
+    # pieces[j] has the polynomial, in x, of a function on the interval [t_j, t_j + 1).
+    functions: list[dict[int, np.ndarray]] = [{k: np.ones(1)} if t[k] < t[k + 1] else {} for k in range(len(t) - 1)]
     for d in range(1, degree + 1):
-        new = []
-        for k in range(n - d):
-            part = F.lit(0.0)
-            if t[k + d] > t[k]:
-                part = part + (x - t[k]) / (t[k + d] - t[k]) * basis[k]
-            if t[k + d + 1] > t[k + 1]:
-                part = part + (t[k + d + 1] - x) / (t[k + d + 1] - t[k + 1]) * basis[k + 1]
-            new.append(part)
-        basis = new
-    return basis
+        raised = []
+        for k in range(len(functions) - 1):
+            pieces: dict[int, np.ndarray] = {}
+            for at, root, sign, width in ((k, t[k], 1.0, t[k + d] - t[k]), (k + 1, t[k + d + 1], -1.0, t[k + d + 1] - t[k + 1])):
+                if width > 0:
+                    for j, p in functions[at].items():
+                        pieces[j] = P.polyadd(pieces.get(j, np.zeros(1)), P.polymul(p, np.array([-root, 1.0]) * (sign / width)))
+            raised.append(pieces)
+        functions = raised
+    top = max((j for j in range(len(t) - 1) if t[j] < t[j + 1]), default=0)
+
+    def value(p: np.ndarray, at: float) -> Column:
+        """Horner's rule about ``at``, where the digits are."""
+        about = np.polynomial.Polynomial(p)(np.polynomial.Polynomial([at, 1.0])).coef
+        out = F.lit(float(about[-1]))
+        for c in about[-2::-1]:
+            out = out * (x - F.lit(at)) + F.lit(float(c))
+        return out
+
+    out = []
+    for pieces in functions:
+        c = F.lit(0.0)
+        for j, p in sorted(pieces.items(), reverse=True):
+            inside = (x >= t[j]) & ((x <= t[j + 1]) if j == top else (x < t[j + 1]))
+            c = F.when(inside, value(p, t[j])).otherwise(c)
+        out.append(c)
+    return out
 
 
 def orthogonal(df: DataFrame, x: Column, degree: int) -> list[Column]:
@@ -204,6 +254,8 @@ def to_design(df: DataFrame, terms: list[tuple], *, intercept: bool, drop_first=
     made: dict[str, Factor] = {}
     variable: dict[str, str] = {}
     for text in texts:
+        if re.match(r"cc\(", text):
+            raise ValueError(f"cyclic splines are not available, with or without monotonic constraints: {text}")
         call = re.match(r"(C|bs|poly)\(", text)
         if call:
             kind, args, named = _arguments(text)

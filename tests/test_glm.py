@@ -60,6 +60,7 @@ def test_save_and_load(spark, tmp_path):
 
 def test_formula_terms():
     assert M.parse("y ~ a * b - a:b + 1") == ("y", [("a",), ("b",)], True)
+    assert M.parse("y ~ (a + b + c) ** 2 - a:c")[1] == [("a",), ("b",), ("c",), ("a", "b"), ("b", "c")]
     assert M.parse("y ~ a:C(b) - 1")[1:] == ([("a", "C(b)")], False)
     with pytest.raises(ValueError):
         M.parse("a + b ~ c")
