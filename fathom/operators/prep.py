@@ -162,9 +162,9 @@ def weighted_moments(df: DataFrame, by: str, value: str, weight: str) -> DataFra
     about = df.select(F.col(by).alias("_by"), x.alias("_x"), w.alias("_w")).join(means, F.col("_by").eqNullSafe(F.col(by)))
     gap = F.col("_x") - F.col("mean")
     # The squares' mean is corrected by that of the gaps, which is 0 but for rounding of the mean.
-    sums = about.groupBy(by).agg(F.first("mean").alias("mean"), F.sum(F.col("_w") * gap).alias("g"), F.sum(F.col("_w") * gap * gap).alias("q"), F.sum("_w").alias("weight"))
-    off = F.try_divide(F.col("g"), F.col("weight"))
-    return sums.select(by, (F.col("mean") + off).alias("mean"), (F.try_divide(F.col("q"), F.col("weight")) - off * off).alias("variance"), "weight")
+    sums = about.groupBy(by).agg(F.first("mean").alias("mean"), F.sum(F.col("_w") * gap).alias("_g"), F.sum(F.col("_w") * gap * gap).alias("_q"), F.sum("_w").alias("weight"))
+    off = F.try_divide(F.col("_g"), F.col("weight"))
+    return sums.select(by, (F.col("mean") + off).alias("mean"), (F.try_divide(F.col("_q"), F.col("weight")) - off * off).alias("variance"), "weight")
 
 
 def target_and_exposure(df: DataFrame, family: str, *, claims: str, amount: str, exposure: str) -> DataFrame:

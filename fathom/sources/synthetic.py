@@ -79,3 +79,22 @@ def glm_dataset(spark: SparkSession, rows: int, family: str = "poisson", share:
             yield pa.RecordBatch.from_arrays([*batch.columns[1:-1], pa.array(y, pa.float64())], [*batch.schema.names[1:-1], "y"])
 
     return out.mapInArrow(run, ", ".join(f"x{k} double" for k in range(width)) + ", y double")
+
+
+def categorical_dataset(spark: SparkSession, rows: int, levels: tuple[int, ...] = (50, 200), family: str = "poisson", seed: int = 1) -> DataFrame:
+    """Categorical features ``cat0``... only, with Zipf-like frequencies of their levels, and ``y``."""
+    f = get_family(family)
+    g = get_link("auto", f)
+    effects = [np.random.default_rng([seed, k]).normal(scale=0.3, size=n) for k, n in enumerate(levels)]
+    shares = [(1 / np.arange(1, n + 1)) / (1 / np.arange(1, n + 1)).sum() for n in levels]
+    names = [*(f"cat{k}" for k in range(len(levels))), "y"]
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                rng = np.random.default_rng([seed, int(batch.column(0)[0].as_py())])
+                codes = [rng.choice(n, batch.num_rows, p=p) for n, p in zip(levels, shares)]
+                y = sample(family, rng, g.inverse(sum(e[c] for e, c in zip(effects, codes))))
+                yield pa.RecordBatch.from_arrays([*(pa.array(np.char.add("l", c.astype(str)).tolist()) for c in codes), pa.array(y, pa.float64())], names)
+
+    return spark.range(rows).mapInArrow(run, ", ".join(f"{n} {'string' if n != 'y' else 'double'}" for n in names))

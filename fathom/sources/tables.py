@@ -29,15 +29,30 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 
 def from_arrays(spark: SparkSession, X, y=None, sample_weight=None, offset=None) -> DataFrame:
-    """NumPy arrays (or lists) as a table with columns ``_col_0``..., ``y``, ``sample_weight``, ``offset``."""
+    """NumPy arrays (or lists) as a table with columns ``_col_0``..., ``y``, ``sample_weight``, ``offset``.
+
+    Of a sparse matrix (anything with ``tocsr``) only the entries travel; they become columns on the executors.
+    """
     import pandas as pd
 
-    X = np.asarray(X.toarray() if hasattr(X, "toarray") else X, float)
-    data = {f"_col_{k}": X[:, k] for k in range(X.shape[1])}
-    for name, value in (("y", y), ("sample_weight", sample_weight), ("offset", offset)):
-        if value is not None:
-            data[name] = np.broadcast_to(np.asarray(value, float), (len(X),))
-    return spark.createDataFrame(pd.DataFrame(data))
+    sparse = hasattr(X, "tocsr")
+    X = X.tocsr() if sparse else np.asarray(X, float)
+    rows, width = X.shape
+    if sparse:
+        cuts = X.indptr[1:-1]
+        data = {"_at": np.split(X.indices + 1, cuts), "_entries": np.split(X.data.astype(float), cuts)} if rows else {"_at": [], "_entries": []}
+    else:
+        data = {f"_col_{k}": X[:, k] for k in range(width)}
+    named = [(n, v) for n, v in (("y", y), ("sample_weight", sample_weight), ("offset", offset)) if v is not None]
+    for name, value in named:
+        data[name] = np.broadcast_to(np.asarray(value, float), (rows,))
+    if not sparse:
+        return spark.createDataFrame(pd.DataFrame(data))
+    schema = ", ".join(["_at array<int>", "_entries array<double>", *(f"{n} double" for n, _ in named)])
+    listed = [([int(i) for i in r[0]], [float(v) for v in r[1]], *map(float, r[2:])) for r in zip(*data.values())]
+    entries = F.map_from_arrays("_at", "_entries")
+    columns = [F.coalesce(F.try_element_at("_m", F.lit(k + 1)), F.lit(0.0)).alias(f"_col_{k}") for k in range(width)]
+    return spark.createDataFrame(listed, schema).withColumn("_m", entries).select(*columns, *(n for n, _ in named))
 
 
 def spread_array(df: DataFrame, column: str, size: int, prefix: str = "_col_") -> DataFrame:

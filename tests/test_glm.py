@@ -56,6 +56,130 @@ def test_save_and_load(spark, tmp_path):
     again = models.load(spark, f"file://{tmp_path}/m")
     a, b = m.predict(df).agg(F.sum("prediction")).first()[0], again.predict(df).agg(F.sum("prediction")).first()[0]
     assert a == pytest.approx(b, rel=1e-12)
+    text = models.to_json(m)
+    assert models.from_json(text.replace('"version": 2', '"version": 1')).coef_ == pytest.approx(m.coef_)
+    with pytest.raises(ValueError, match="version 9"):
+        models.from_json(text.replace('"version": 2', '"version": 9'))
+
+
+def test_sources(spark, tmp_path):
+    class Sparse:  # what a sparse matrix library gives
+        shape, indptr, indices, data = (3, 4), np.array([0, 2, 2, 3]), np.array([0, 3, 1]), np.array([1.0, 2.0, 5.0])
+
+        def tocsr(self):
+            return self
+
+    rows = tables.from_arrays(spark, Sparse(), [1, 2, 3], offset=0.5).collect()
+    assert [tuple(r) for r in rows] == [(1, 0, 0, 2, 1, 0.5), (0, 0, 0, 0, 2, 0.5), (0, 5, 0, 0, 3, 0.5)]
+    df = spark.createDataFrame([("a", 1.5), ("b", 2.5)], "k string, v double")
+    tables.write_csv(df, f"file://{tmp_path}/c")
+    assert sorted(map(tuple, tables.read_csv(spark, f"file://{tmp_path}/c", "k string, v string", casts={"v": "double"}).collect())) == [("a", 1.5), ("b", 2.5)]
+    tables.write_parquet(df, f"file://{tmp_path}/p")
+    assert tables.read_parquet(spark, f"file://{tmp_path}/p", ["v"]).columns == ["v"]
+    assert tables.spread_array(spark.createDataFrame([([1.0, 2.0],)], "x array<double>"), "x", 2).first() == (1.0, 2.0)
+    made = synthetic.categorical_dataset(spark, 400, (5, 3), seed=2)
+    assert made.count() == 400 and made.select("cat0").distinct().count() == 5
+    assert len(synthetic.glm_dataset(spark, 200).columns) == 3
+
+
+def test_given_splits_and_whole_refit_path(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(60, 2))
+    df = tables.from_arrays(spark, x, x[:, 0] + rng.normal(size=60)).withColumn("f", (F.abs(F.hash("y")) % 3).cast("int"))
+    one = GLMCV(cv="f", alphas=[10, 1, 0.001], l1_ratio=[0.0, 0.5]).fit(df, "y")
+    two = GLMCV(cv=[(F.col("f") != k, F.col("f") == k) for k in range(3)], alphas=[10, 1, 0.001], l1_ratio=[0.0, 0.5]).fit(df, "y", features=["_col_0", "_col_1"])
+    assert two.deviance_path_ == pytest.approx(one.deviance_path_) and two.train_deviance_path_ == pytest.approx(one.train_deviance_path_)
+    assert one.coef_path_.shape == (3, 2) and one.fold_coef_path_.shape == (3, 2, 3, 2)
+    for k, a in enumerate([10, 1, 0.001]):
+        single = GLM(alpha=a, l1_ratio=one.l1_ratio_).fit(df, "y", features=["_col_0", "_col_1"])
+        assert one.coef_path_[k] == pytest.approx(single.coef_, abs=1e-3)
+        assert one.predict(df, alpha=a).count() == 60
+    assert one.coef_ == pytest.approx(one.coef_path_[list(one._alphas).index(one.alpha_)])
+    with pytest.raises(ValueError, match="cv must be"):
+        GLMCV(cv=1, order_by="y").fit(df, "y")
+
+
+def test_moments_of_wide_scales(spark):
+    from fathom.operators import prep
+
+    df = spark.createDataFrame([("a", 1e9, 1.0), ("a", 1e9 + 1, 1.0), ("b", -5.0, 2.0), ("c", 1.0, 0.0)], "g string, x double, w double")
+    got = {r.g: (r.mean, r.variance, r.weight) for r in prep.weighted_moments(df, "g", "x", "w").collect()}
+    assert got == {"a": (1e9 + 0.5, 0.25, 2.0), "b": (-5.0, 0.0, 2.0), "c": (None, None, 0.0)}
+
+
+def test_ewma_over_many_blocks(spark):
+    from fathom.operators import prep
+
+    rng = np.random.default_rng(3)
+    v = [None if k % 7 == 0 else float(x) for k, x in enumerate(rng.normal(size=400))]
+    df = spark.createDataFrame([("a", k, x) for k, x in enumerate(v)], "g string, k long, v double")
+    for span in (1.5, 20.0):
+        got = [r.ewma for r in prep.ewma(df, "g", "k", "v", span).orderBy("k").collect()]
+        decay, top, low, want = 1 - 2 / (span + 1), 0.0, 0.0, []
+        for x in v:
+            if x is not None:
+                top, low = top * decay + x, low * decay + 1
+            want.append(top / low if low else None)
+        assert got[0] is None and got[1:] == pytest.approx(want[1:], rel=1e-9, abs=1e-12)
+
+
+def test_kernel_average_beyond_its_reach(spark):
+    from fathom.operators import prep
+
+    zones = spark.createDataFrame([(1, 0.0, 0.0, 10.0, 1.0), (2, 1.0, 0.0, 20.0, 1.0), (3, 30.0, 0.0, 70.0, 2.0)], "z int, x double, y double, v double, w double")
+    got = {r.z: r.smooth for r in prep.kernel_average(zones, "z", "x", "y", "v", "w", 1.0).collect()}
+    assert got[1] == 20 and got[2] == 10 and 10 < got[3] <= 20
+    alone = prep.kernel_average(zones.where("z = 3"), "z", "x", "y", "v", "w", 1.0).first()
+    assert alone.smooth is None
+
+
+def test_distance_penalty():
+    from fathom.operators import prep
+
+    p = np.array(prep.distance_penalty([(0, 0), (3, 4), (0, 0)], zeros=1))
+    assert p[0].tolist() == [0] * 4 and p.sum(axis=1) == pytest.approx([0] * 4)
+    assert p[1, 3] == -1 and p[1, 2] == p[2, 3] == -1 and np.linalg.eigvalsh(p).min() > -1e-12
+
+
+def test_start_with_offsets(spark):
+    """Beside an offset alone, the start is the solution under a log link."""
+    rng = np.random.default_rng(5)
+    o = rng.normal(size=50)
+    df = tables.from_arrays(spark, rng.normal(size=(50, 1)), rng.gamma(2.0, np.exp(o + 0.7)), offset=o)
+    for family in ("poisson", "gamma", "tweedie(1.5)"):
+        m = GLM(family=family, link="log", alpha=1e6, gradient_tol=1e-9).fit(df, "y", offset="offset", features=["_col_0"])
+        coded = m._prepare(df, "y", None, "offset", ["_col_0"], None)
+        assert m._guess(m._moments(coded)[0]) == pytest.approx(m.intercept_, abs=1e-5)
+
+
+def test_trust_region_and_streamed_clusters(spark):
+    df = synthetic.mixed_data(spark, "poisson", 400, dense=2, categorical=(3,), seed=8).withColumn("g", F.floor(F.abs(F.col("dense0") * 40)).cast("string"))
+    names = ["dense0", "dense1", "cat0"]
+    m = GLM(family="poisson", alpha=0.01, solver="trust-constr").fit(df, "y", features=names)
+    n = GLM(family="poisson", alpha=0.01, gradient_tol=1e-9).fit(df, "y", features=names)
+    assert m.coef_ == pytest.approx(n.coef_, abs=1e-6)
+    free = GLM(family="poisson", alpha=0, drop_first=True).fit(df, "y", features=names)
+    v = free.covariance_matrix(df, "y", clusters="g")
+    data = df.toPandas()
+    x = np.column_stack([np.ones(len(data)), data.dense0, data.dense1, data.cat0 == "l1", data.cat0 == "l2"]).astype(float)
+    mu = np.exp(x @ np.concatenate([[free.intercept_], free.coef_]))
+    s = x * (data.y.to_numpy() - mu)[:, None]
+    groups = [s[(data.g == g).to_numpy()].sum(axis=0) for g in data.g.unique()]
+    h = np.linalg.inv((x * mu[:, None]).T @ x)
+    want = h @ sum(np.outer(g, g) for g in groups) @ h * len(groups) / (len(groups) - 1) * (len(x) - 1) / (len(x) - x.shape[1])
+    assert v == pytest.approx(want, rel=1e-5)
+
+
+def test_names_of_the_caller(spark):
+    def doubled(c):
+        return 2 * c
+
+    df = rows(spark, [(1, 0), (2, 1), (3, 1)], [2, 4, 6])
+    assert GLM(alpha=0, formula="y ~ doubled(a)").fit(df, context=0).coef_ == pytest.approx([1.0])
+    with pytest.raises(TypeError, match="context"):
+        GLM(alpha=0, formula="y ~ a").fit(df, context="x")
+    with pytest.raises(ValueError, match="cyclic"):
+        GLM(alpha=0, formula="y ~ cc(a, df=3)").fit(df)
 
 
 def test_formula_terms():
