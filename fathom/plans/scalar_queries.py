@@ -87,17 +87,3 @@ for _name, (_g, _eta, *_exprs) in _LINKS.items():
     QUERIES[f"link_{_name}"] = _link(_g, _eta)
     _cols = ", ".join(f"round(avg({x}), 6) + 0.0 AS {n}" for x, n in zip(_exprs, ("inverse", "inverse_derivative", "inverse_derivative2", "link", "derivative")))
     ORACLE_SQL[f"link_{_name}"] = f"WITH r AS (SELECT l_linestatus, {_eta} AS e FROM lineitem), s AS (SELECT *, {_exprs[0]} AS m FROM r) SELECT l_linestatus, {_cols} FROM s GROUP BY 1"
-
-
-def loglik_tweedie(spark, sf_dir):
-    """The series has no SQL form: a vectorised partial aggregate."""
-    import numpy as np
-
-    from ..operators.moments import summed
-
-    rows = table(spark, sf_dir, "events").select(F.col("value").alias("y"), (F.col("value") * 0 + 10.0).alias("mu"))
-    total = summed(rows, lambda b: np.array([fam.tweedie_unit_log_likelihood(b.column("y").to_numpy(), b.column("mu").to_numpy(), 1.5, 2.0).sum(), b.num_rows]), 2)
-    return spark.createDataFrame([(round(float(total[0]), 4), int(total[1]))], "log_likelihood double, n long")
-
-
-QUERIES["loglik_tweedie15"] = loglik_tweedie
