@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -13,12 +15,29 @@ from pyspark.sql import types as T
 from .shared import fresh
 
 #: Bytes of text handled at once in a Python worker; a longer single text is a slice of its own.
-SLICE_BYTES = 6 << 20
+SLICE_BYTES = 4 << 20
 
 #: Two neighbouring white-space characters (or the separator itself): such texts are not cut.
 _UNCUT = r"\x00|[\s\p{Z}\x0b\x1c-\x1f\x{85}]{2}"
 
 
+def tidy() -> None:
+    """Give freed memory back to the system: workers are reused, and the next stage needs it.
+
+    Arrow's pool and the C library both keep what was freed; a library without ``malloc_trim``
+    keeps its share.
+    """
+    pa.default_memory_pool().release_unused()
+    trim = getattr(_libc(), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+@functools.lru_cache(maxsize=1)
+def _libc():
+    return ctypes.CDLL(None)
+
+
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a batch into consecutive pieces of about ``limit`` bytes of ``column``."""
     if not batch.num_rows:
@@ -28,6 +47,7 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iter
     cuts = [0, *(np.flatnonzero(np.diff(step)) + 1).tolist(), batch.num_rows]
     for start, end in zip(cuts, cuts[1:]):
         yield batch.slice(start, end - start)
+    tidy()
 
 
 def add_columns(df: DataFrame, column: str, make: Callable[[], Callable], fields: list[T.StructField], limit: int = SLICE_BYTES) -> DataFrame:
@@ -136,5 +156,6 @@ def resource(key: tuple, make: Callable):
     """
     if _held[0] != key:
         _held[:] = None, None
+        tidy()
         _held[:] = key, make()
     return _held[1]

@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow import slices
+from .arrow import resource, slices
 from .components import components
 from .shared import release, stored
 
@@ -82,6 +82,12 @@ def shingle_sets(texts: pa.Array) -> list[np.ndarray]:
     return out
 
 
+def _sets_of(part: pa.RecordBatch):
+    """The sets of a slice's texts, hashed a few megabytes at a time."""
+    for some in slices(part, "text", 3 << 20):
+        yield from shingle_sets(some.column("text").fill_null(""))
+
+
 def _signature(found: np.ndarray) -> int:
     import xxhash
 
@@ -91,8 +97,9 @@ def _signature(found: np.ndarray) -> int:
 def _scan(batches):
     """Rows (doc_id, signature, n) of texts, and (token, seen) of shingles that recur."""
     for batch in batches:
+        resource(("jaccard",), tuple)
         for part in slices(batch, "text", 24 << 20):
-            sets = shingle_sets(part.column("text").fill_null(""))
+            sets = list(_sets_of(part))
             ids = part.column("doc_id").cast(pa.int64())
             signatures = [_signature(s) for s in sets]
             distinct = {g: s for g, s in zip(signatures, sets)}
@@ -140,10 +147,11 @@ def _prefixes(batches, order: _Order, deal_rows: int):
     the same in every set: ``dealt`` is the token itself below ``deal_rows``, never from there.
     """
     for batch in batches:
-        for part in slices(batch, "text", 24 << 20):
+        resource(("jaccard",), tuple)
+        for part in slices(batch, "text", 8 << 20):
             columns: list[list[np.ndarray]] = [[], [], [], [], []]
             done = set()
-            for found in shingle_sets(part.column("text").fill_null("")):
+            for found in _sets_of(part):
                 n = len(found)
                 signature = _signature(found)
                 if not n or signature in done:

@@ -16,13 +16,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .arrow import add_columns, slices
+from .arrow import add_columns, resource, slices
 
 UNDETERMINED = "und"
 DIMENSIONS = 512
 ORDER = 3
 #: Letters share vectors modulo this many; 0 stands for a gap between words.
 LETTERS = 1024
+#: Bytes of text handled at once; an n-gram costs several times its letter.
+SLICE_BYTES = 2 << 20
 
 
 @functools.lru_cache(maxsize=1)
@@ -38,30 +40,23 @@ def _is_letter() -> np.ndarray:
 
 
 def _grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of all n-grams of the texts, and the number of the text of each.
+    """Codes of all n-grams of the texts in a row, and each text's bounds in them.
 
     Letters are lower-cased; a run of anything else is one gap; every text begins and ends with
-    a gap, and n-grams that start in one text end in it.
+    a gap. An n-gram belongs to its middle letter, so none reaches into another text.
     """
-    lowered = pc.utf8_lower(texts)
-    sizes = pc.utf8_length(lowered).to_numpy(zero_copy_only=False).astype(np.int64)
-    points = np.frombuffer("".join(lowered.to_pylist()).encode("utf-32-le", "surrogatepass"), np.uint32)
-    owner = np.repeat(np.arange(len(texts)), sizes)
-    letter = _is_letter()[points]
-    codes = np.where(letter, points % (LETTERS - 1) + 1, 0)
-    # A gap before each text separates it; repeated gaps go.
-    starts = np.concatenate([[0], np.cumsum(sizes)])[:-1]
-    codes, owner = np.insert(codes, starts, 0), np.insert(owner, starts, np.arange(len(texts)))
-    codes, owner = np.append(codes, 0), np.append(owner, len(texts))
-    keep = np.ones(len(codes), bool)
-    keep[1:] = (codes[1:] != 0) | (codes[:-1] != 0)
-    # Of neighbouring gaps the later text's stands for both ends; n-grams belong to their middle letter.
-    codes, owner = codes[keep], owner[keep]
-    if len(codes) < ORDER:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    grams = (codes[:-2].astype(np.int64) * LETTERS + codes[1:-1]) * LETTERS + codes[2:]
-    middle = codes[1:-1] != 0
-    return grams[middle], owner[1:-1][middle]
+    listed = pc.utf8_lower(texts).to_pylist()
+    starts = np.cumsum([0, *(len(t) + 1 for t in listed)])
+    points = np.frombuffer("\n".join(["", *listed, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
+    codes = (points % np.uint32(LETTERS - 1)).astype(np.int16) + np.int16(1)
+    codes[~_is_letter()[points]] = 0
+    keep = codes != 0
+    middles = np.concatenate([[0], np.cumsum(keep, dtype=np.int64)])[starts + 1]
+    keep[1:] |= codes[:-1] != 0  # of neighbouring gaps the first stays
+    keep[0] = True
+    codes = codes[keep].astype(np.int32)
+    grams = (codes[:-2] * LETTERS + codes[1:-1]) * LETTERS + codes[2:]
+    return grams[codes[1:-1] != 0], middles
 
 
 def _bound(grams: np.ndarray, dimensions: int) -> np.ndarray:
@@ -80,18 +75,20 @@ def _bundle(grams: np.ndarray, counts: np.ndarray, dimensions: int) -> np.ndarra
 def train(df: DataFrame, text: str = "text", lang: str = "lang", dimensions: int = DIMENSIONS) -> dict[str, np.ndarray]:
     """Prototypes of the languages of ``df``: unit vectors.
 
-    Every row counts; rows with a null text or language add nothing. Tasks send one vector for
-    each language they saw, so the driver's share follows the number of languages only. An
-    empty table gives no prototypes.
+    Every row counts, repeated ones too; rows with a null text or language add nothing, nor do
+    texts without a letter. Very long texts count in full. Only the two columns are read, so
+    others may have any names. Tasks send one vector for each language they saw, so the driver's
+    share follows the number of languages only. An empty table gives no prototypes.
     """
 
     def run(batches):
-        sums: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+        resource(("language",), tuple)
+        sums: dict[str, np.ndarray] = {}
         for batch in batches:
-            for part in slices(batch, "text"):
-                grams, owner = _grams(part.column("text"))
+            for part in slices(batch, "text", SLICE_BYTES):
+                grams, bounds = _grams(part.column("text"))
                 coded = part.column("lang").dictionary_encode()
-                of = coded.indices.to_numpy()[owner]
+                of = np.repeat(coded.indices.to_numpy(), np.diff(bounds))
                 for k, name in enumerate(coded.dictionary.to_pylist()):
                     found, counts = np.unique(grams[of == k], return_counts=True)
                     made = _bundle(found, counts, dimensions)
@@ -113,27 +110,28 @@ def train(df: DataFrame, text: str = "text", lang: str = "lang", dimensions: int
 def predict(df: DataFrame, prototypes: dict[str, np.ndarray], text: str = "text") -> DataFrame:
     """``df`` with ``lang_pred`` and ``score``, the cosine cut to 0..1.
 
-    A null text, one without a letter, and any text if there are no prototypes give ``und`` and
-    0. Equal cosines give the language first in the alphabet. Rows are kept as they are.
+    A null or empty text, one without a letter, and any text if there are no prototypes give
+    ``und`` and 0. Equal cosines give the language first in the alphabet. Whole texts count,
+    however long. Rows are kept as they are, repeated ones too; columns with the names of the
+    results are replaced, all others stay. An empty table gives an empty table.
     """
     names = sorted(prototypes)
     matrix = np.array([prototypes[n] for n in names]) if names else np.zeros((0, DIMENSIONS))
 
     def make():
+        resource(("language",), tuple)
+
         def work(texts):
-            grams, owner = _grams(texts)
+            grams, bounds = _grams(texts)
             best, score = [UNDETERMINED] * len(texts), np.zeros(len(texts))
-            if len(names) and len(grams):
-                order = np.argsort(owner, kind="stable")
-                grams, bounds = grams[order], np.searchsorted(owner[order], np.arange(len(texts) + 1))
-                for i in range(len(texts)):
-                    if bounds[i] < bounds[i + 1]:
-                        vector = _bundle(*np.unique(grams[bounds[i] : bounds[i + 1]], return_counts=True), matrix.shape[1])
-                        cosines = matrix @ vector / max(np.linalg.norm(vector), 1e-12)
-                        k = int(np.argmax(cosines))
-                        best[i], score[i] = names[k], min(1.0, max(0.0, float(cosines[k])))
+            if len(names):
+                for i in np.flatnonzero(np.diff(bounds)).tolist():
+                    vector = _bundle(*np.unique(grams[bounds[i] : bounds[i + 1]], return_counts=True), matrix.shape[1])
+                    cosines = matrix @ vector / max(np.linalg.norm(vector), 1e-12)
+                    k = int(np.argmax(cosines))
+                    best[i], score[i] = names[k], min(1.0, max(0.0, float(cosines[k])))
             return [pa.array(best, pa.string()), pa.array(score)]
 
         return work
 
-    return add_columns(df, text, make, [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    return add_columns(df, text, make, [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())], SLICE_BYTES)
