@@ -1,10 +1,12 @@
 """Personal data and the terms that give it away, with DataFrame functions only.
 
 Base kinds are found by patterns. The information-theoretic part then asks the corpus how
-strongly a word reveals an entity that the patterns found: it compares the documents that hold
-both with all documents that hold the word, anywhere in their texts outside personal data. A word
-from which an entity follows with at least ``DISCLOSURE`` probability, in at least ``SUPPORT``
-different texts, is a span of kind ``term`` in every document that holds it.
+strongly a word reveals an entity that the patterns found. An entity's information content is
+-log2 of the share of documents that hold it; what a word tells of it is their pointwise mutual
+information, from the documents that hold both, anywhere in their texts outside personal data. A
+word that tells at least the share ``DISCLOSURE`` of an entity's information and leaves no more
+than ``LEFT_BITS`` of it open, in at least ``SUPPORT`` different texts, is a span of kind ``term``
+in every document that holds it.
 
 Every pattern is written so that Java's matcher neither recurses nor restarts inside a run of
 characters that has already failed, so very long texts cost linear time; the matches are those
@@ -16,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import stored
+from .shared import fresh, stored
 
 #: Kinds in the order of ties.
 KINDS = ("email", "ip", "card", "phone", "term")
@@ -31,7 +33,7 @@ WORD = r"[\p{L}\p{M}\p{N}]{2,}"
 HAN = r"(?=(\p{IsHan}{%d}))"
 #: What cannot be next to a term: scripts that do not part words have no such bound.
 BOUND = r"[[\p{L}\p{M}\p{N}]&&[^\p{IsHan}]]"
-SUPPORT, DISCLOSURE = 3, 0.5
+SUPPORT, DISCLOSURE, LEFT_BITS = 3, 0.75, 1.0
 #: Disclosing terms, and documents with some, of at most so many rows are broadcast.
 BROADCAST_ROWS = 50_000
 _SPANS = "array<struct<start:int,end:int,value:string>>"
@@ -79,9 +81,10 @@ def base_spans(df: DataFrame, text: str = "text") -> DataFrame:
     that fail the kind's further test are dropped without another try.
     """
     whole = F.coalesce(F.col(text), F.lit(""))
-    found = df.withColumns({f"_m_{k}": F.regexp_extract_all(whole, F.lit(p), F.lit(0)) for k, p in PATTERNS.items()})
-    spans = {k: F.filter(_matches(whole, F.lit(p), F.col(f"_m_{k}")), _test(k)) for k, p in PATTERNS.items()}
-    return found.withColumns(spans).drop(*(f"_m_{k}" for k in PATTERNS))
+    own = {k: fresh([*df.columns, *PATTERNS], f"matches_{k}") for k in PATTERNS}
+    found = df.withColumns({own[k]: F.regexp_extract_all(whole, F.lit(p), F.lit(0)) for k, p in PATTERNS.items()})
+    spans = {k: F.filter(_matches(whole, F.lit(p), F.col(own[k])), _test(k)) for k, p in PATTERNS.items()}
+    return found.withColumns(spans).drop(*own.values())
 
 
 def _named(kind: str):
@@ -115,20 +118,27 @@ def _vocabulary(plain: DataFrame) -> DataFrame:
 
 
 def disclosing_terms(rows: DataFrame) -> DataFrame | None:
-    """Pairs (entity, term) where the term gives the entity away; None if there are none.
+    """``entity, term, content, told``: terms that give an entity away, and bits; None if there are none.
 
     ``rows`` is a table of :func:`_vocabulary`. Equal texts are counted together first, so that
-    copies of one document do not support a term and a frequent entity is no large group; the
-    share is over documents. A term is joined once with its best entity before its pairs are.
+    copies of one document do not support a term and a frequent entity is no large group; shares
+    are over documents. A term that cannot be within LEFT_BITS of any entity goes before its pairs
+    are joined. An entity that all documents hold has no content, and nothing tells of it.
     """
     texts = rows.where("size(entities) > 0").groupBy("copy").agg(F.first("entities").alias("entities"), F.first("words").alias("words"), F.count("*").alias("copies"))
+    texts = stored(texts, "pii-texts")
     pairs = texts.select(F.explode("entities").alias("entity"), "words", "copies").select("entity", F.explode("words").alias("term"), "copies")
-    counted = pairs.groupBy("entity", "term").agg(F.count("*").alias("texts"), F.sum("copies").alias("with_entity"))
+    counted = pairs.groupBy("entity", "term").agg(F.count("*").alias("texts"), F.sum("copies").alias("both"))
     supported = stored(counted.where(F.col("texts") >= SUPPORT).drop("texts"), "pii-supported")
-    best = supported.groupBy("term").agg(F.max("with_entity").alias("most"))
+    best = supported.groupBy("term").agg(F.max("both").alias("most"))
     counts = rows.select(F.explode("words").alias("term")).groupBy("term").agg(F.count("*").alias("in_all"))
-    terms = stored(best.join(counts, "term").where(F.col("most") >= DISCLOSURE * F.col("in_all")).select("term", "in_all"), "pii-terms")
-    out = stored(supported.join(terms, "term").where(F.col("with_entity") >= DISCLOSURE * F.col("in_all")).select("entity", "term"), "pii-disclosing")
+    terms = stored(best.join(counts, "term").where(F.col("most") >= 2**-LEFT_BITS * F.col("in_all")).select("term", "in_all"), "pii-terms")
+    entities = texts.select(F.explode("entities").alias("entity"), "copies").groupBy("entity").agg(F.sum("copies").alias("holders"))
+    all_rows = F.lit(rows.count())
+    content, told = F.log2(all_rows / F.col("holders")), F.log2(F.col("both") * all_rows / (F.col("holders") * F.col("in_all")))
+    measured = supported.join(terms, "term").join(entities, "entity").select("entity", "term", content.alias("content"), told.alias("told"))
+    close = (F.col("content") > 0) & (F.col("told") >= DISCLOSURE * F.col("content")) & (F.col("content") - F.col("told") <= LEFT_BITS)
+    out = stored(measured.where(close), "pii-disclosing")
     return out if out.limit(1).count() else None
 
 
@@ -140,8 +150,10 @@ def find(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame
     """``df`` with the base kinds' arrays and ``term``, an array of (start, end, value) as well.
 
     A null text is an empty one. Terms are marked in every row that holds them, with or without
-    the entity they disclose, and whatever its doc_id. Repeated rows stay. An empty table gives
-    an empty table. Columns of ``df`` with the names of the results are replaced.
+    the entity they disclose, and whatever its doc_id, null ones too. Repeated rows stay, and of
+    copies of a text one supports a term. Spans that start alike are in the order of the kinds.
+    An empty table gives an empty table. Columns of ``df`` with the names of the results are
+    replaced, all others stay, whatever their names. Very long texts cost linear time.
     """
     docs = df.drop(*KINDS)
     plain = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
@@ -153,12 +165,13 @@ def find(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame
     terms = stored(found.select("term").distinct(), "pii-marked")
     held = rows.select("key", F.explode("words").alias("term")).join(_small(terms), "term").select("key", "term")
     longest = lambda a, b: F.length(b) - F.length(a)
-    own = stored(held.groupBy(F.col("key").alias("_row")).agg(F.array_sort(F.collect_set("term"), longest).alias("_terms")), "pii-own-terms")
+    row, listed_, pattern, matches = (fresh(based.columns, n) for n in ("row", "terms", "pattern", "matches"))
+    own = stored(held.groupBy(F.col("key").alias(row)).agg(F.array_sort(F.collect_set("term"), longest).alias(listed_)), "pii-own-terms")
     whole = F.coalesce(F.col(text), F.lit(""))
-    pattern = F.concat(F.lit(f"(?iu)(?<!{BOUND})(?:"), F.array_join("_terms", "|"), F.lit(f")(?!{BOUND})"))
-    joined = based.join(_small(own), F.xxhash64(F.col(doc_id), whole) == F.col("_row"), "left").withColumn("_pattern", pattern)
-    joined = joined.withColumn("_m", F.when(F.col("_terms").isNotNull(), F.regexp_extract_all(whole, "_pattern", F.lit(0))).otherwise(F.array().cast("array<string>")))
-    return joined.withColumn("term", _matches(whole, F.col("_pattern"), F.col("_m"))).drop("_row", "_terms", "_pattern", "_m")
+    joined = based.join(_small(own), F.xxhash64(F.col(doc_id), whole) == F.col(row), "left")
+    joined = joined.withColumn(pattern, F.concat(F.lit(f"(?iu)(?<!{BOUND})(?:"), F.array_join(listed_, "|"), F.lit(f")(?!{BOUND})")))
+    joined = joined.withColumn(matches, F.when(F.col(listed_).isNotNull(), F.regexp_extract_all(whole, pattern, F.lit(0))).otherwise(F.array().cast("array<string>")))
+    return joined.withColumn("term", _matches(whole, F.col(pattern), F.col(matches))).drop(row, listed_, pattern, matches)
 
 
 def _placed(kind: str):
