@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import stored
+from .shared import discard, stored
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -24,10 +24,12 @@ def components(edges: DataFrame) -> DataFrame:
         near = both.join(labels.withColumnRenamed("id", "v"), "v").select(F.col("u").alias("id"), "component")
         least = stored(near.union(labels).groupBy("id").agg(F.min("component").alias("component")), "labels")
         jump = least.select(F.col("id").alias("component"), F.col("component").alias("_further"))
-        labels = stored(least.join(jump, "component").select("id", F.least("component", "_further").alias("component")), "labels")
+        old, labels = labels, stored(least.join(jump, "component").select("id", F.least("component", "_further").alias("component")), "labels")
+        discard(old, least)
         before, total = total, _total(labels)
         if total == before:
             break
+    discard(both)
     return labels
 
 

@@ -23,10 +23,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .arrow import resource, slices
+from .arrow import add_columns, resource, slices
 from .components import components
-from .shared import release, stored
+from .shared import discard, release, stored
 
 WORDS = 5
 #: Links need 100 * intersection >= PERCENT * union.
@@ -283,7 +284,7 @@ class _Join:
         return out
 
     def linked(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) of signatures that reach the bound, as pairs of first documents."""
+        """The pairs (a, b) of signatures that reach the bound."""
         pairs = stored(pairs, "jaccard-pairs")
         needed = pairs.select(F.col("a").alias("sig")).union(pairs.select(F.col("b").alias("sig"))).distinct().join(self.first, "sig")
         needed = stored(needed.select("sig", F.col("doc").alias("doc_id")), "jaccard-needed")
@@ -300,9 +301,9 @@ class _Join:
             yield from _compare(batches, _Order(*order.value))
 
         found = stored(rows.mapInArrow(compare, "a long, b long"), "jaccard-linked")
+        discard(pairs, needed, texts)
         release(self.spark)
-        first = self.first.select(F.col("sig").alias("a"), F.col("doc").alias("_a")), self.first.select(F.col("sig").alias("b"), F.col("doc").alias("_b"))
-        return stored(found.join(first[0], "a").join(first[1], "b").select(F.col("_a").alias("a"), F.col("_b").alias("b")), "jaccard-links")
+        return found
 
     def ranked(self, postings: DataFrame) -> DataFrame:
         """Postings with ``pop``: how common the prefix shingles of a set are among all sets.
@@ -313,14 +314,16 @@ class _Join:
         seen = stored(postings.groupBy("token").agg(F.count("*").alias("seen")), "jaccard-seen")
         size = F.first("n") - F.floor((PERCENT * F.first("n") + 99) / 100) + 1
         pop = stored(postings.join(seen, "token").groupBy("sig").agg((F.sum(F.log2("seen")) / size).alias("pop")), "jaccard-popularity")
-        return stored(postings.join(pop, "sig"), "jaccard-ranked")
+        out = stored(postings.join(pop, "sig"), "jaccard-ranked")
+        discard(seen, pop, postings)
+        return out
 
     def placed(self, ranked: DataFrame, labels: DataFrame | None) -> DataFrame:
         """Rows with ``comp``, the component of the set: at first each set its own."""
         if labels is None:
             return ranked.withColumn("comp", F.col("sig"))
-        of = self.first.join(labels, F.col("doc") == F.col("id"), "left").select("sig", F.coalesce("component", "doc").alias("comp"))
-        return stored(ranked.join(stored(of, "jaccard-comps"), "sig"), "jaccard-placed")
+        of = labels.select(F.col("id").alias("sig"), "component")
+        return stored(ranked.join(of, "sig", "left").withColumn("comp", F.coalesce("component", "sig")).drop("component"), "jaccard-placed")
 
     def main_pairs(self, placed: DataFrame) -> DataFrame:
         """The most common set of each component in a shingle's group with that of the whole group."""
@@ -328,7 +331,9 @@ class _Join:
         centres = stored(placed.groupBy("token").agg(best.alias("c")).select("token", F.col("c.sig").alias("a"), F.col("c.n").alias("m"), F.col("c.comp").alias("own")), "jaccard-centres")
         each = stored(placed.groupBy("token", "comp").agg(F.max_by(F.struct("sig", "n"), F.struct("pop", "sig")).alias("r")).select("token", "comp", F.col("r.sig").alias("b"), F.col("r.n").alias("n")), "jaccard-each")
         both = each.join(centres, "token").where("comp <> own").where(_sizes("n", "m"))
-        return _shared_enough(both.select("a", "b", "n", "m"))
+        out = stored(_shared_enough(both.select("a", "b", "n", "m")), "jaccard-main")
+        discard(centres, each)
+        return out
 
     def other_pairs(self, placed: DataFrame) -> DataFrame:
         """Pairs across components in groups that still hold several of them.
@@ -351,24 +356,36 @@ class _Join:
         own = stored(rows.groupBy("sig", "n").agg(F.collect_set("token").alias("tokens")), "jaccard-own")
         sides = [own.select(F.col("sig").alias(k), F.col("n").alias(f"n_{k}"), F.col("tokens").alias(f"t_{k}")) for k in "ab"]
         shared = F.size(F.array_intersect("t_a", "t_b"))
-        return pairs.join(sides[0], "a").join(sides[1], "b").where(_enough(shared, F.col("n_a"), F.col("n_b"))).select("a", "b")
+        out = stored(pairs.join(sides[0], "a").join(sides[1], "b").where(_enough(shared, F.col("n_a"), F.col("n_b"))).select("a", "b"), "jaccard-others")
+        discard(open_, rows, pairs, own)
+        return out
 
     def result(self) -> DataFrame:
         ranked = self.ranked(self.postings())
         links = labels = tried = None
+        made = []
         placed = self.placed(ranked, None)
         for _ in range(ROUNDS):
-            pairs = stored(self.main_pairs(placed), "jaccard-main")
-            new = pairs if tried is None else stored(pairs.join(tried, ["a", "b"], "left_anti"), "jaccard-new")
+            pairs = self.main_pairs(placed)
+            new = pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti")
             found = self.linked(new)
             links, tried = (found, pairs) if links is None else (links.union(found), tried.union(pairs))
+            made += [found, pairs]
+            discard(labels, placed)
             labels = components(links)
             placed = self.placed(ranked, labels)
-        more = self.linked(self.other_pairs(placed))
+        others = self.other_pairs(placed)
+        more = self.linked(others)
+        discard(others, placed, ranked)
         if more.limit(1).count():
+            discard(labels)
             labels = components(links.union(more))
-        of = stored(self.first.join(labels, F.col("doc") == F.col("id"), "left").select("sig", F.coalesce("component", "doc").alias("component_id")), "jaccard-components")
-        return self.sets.join(of, "sig", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+        # A component has the name of its least document.
+        of = self.first.join(labels.withColumnRenamed("id", "sig"), "sig", "left").select("sig", "doc", F.coalesce("component", "sig").alias("comp"))
+        names = of.groupBy("comp").agg(F.min("doc").alias("component_id"))
+        of = stored(of.join(names, "comp").select("sig", "comp", "component_id"), "jaccard-components")
+        discard(labels, more, self.first, *made)
+        return self.sets.join(of, "sig", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.col("sig").alias("set_id"), F.coalesce("comp", F.col("sig")).alias("group_id"))
 
 
 def _sizes(n: str, m: str):
@@ -393,11 +410,24 @@ def _enough(shared, n, m):
 
 
 def join(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, n_shingles, component_id`` of each row of ``df``.
+    """``doc_id, n_shingles, component_id, set_id, group_id`` of each row of ``df``.
 
-    A null text is an empty one: no shingle, linked with nothing. Equal texts are one set.
-    Repeated rows stay; rows with equal doc_id are separate texts under one name, whose
-    component is the least id any of them reaches by its own text. A null doc_id takes part, but
-    never names a component unless its set has no other. An empty table gives an empty table.
+    A null text is an empty one: no shingle, linked with nothing, set and group 0. Equal sets are
+    one, with one number; ``group_id`` numbers components, also where ids repeat. Repeated rows stay; rows with equal doc_id are separate texts, each in the
+    component of its own. A null doc_id takes part, but never names a component unless all of
+    its texts lack one. Very long texts are one set each. Only the two columns are read, so others
+    may have any names. An empty table gives an empty table.
     """
     return _Join(df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))).result()
+
+
+def with_sets(df: DataFrame, text: str = "text", set_id: str = "set_id") -> DataFrame:
+    """``df`` with the number of each text's set, as :func:`join` gives it; 0 without shingles."""
+
+    def make():
+        def work(texts):
+            return [pa.array([_signature(s) for s in shingle_sets(texts)], pa.int64())]
+
+        return work
+
+    return add_columns(df, text, make, [T.StructField(set_id, T.LongType())])

@@ -107,8 +107,8 @@ def train(df: DataFrame, text: str = "text", lang: str = "lang", dimensions: int
     return dict(sorted(out.items()))
 
 
-def predict(df: DataFrame, prototypes: dict[str, np.ndarray], text: str = "text") -> DataFrame:
-    """``df`` with ``lang_pred`` and ``score``, the cosine cut to 0..1.
+def predict(df: DataFrame, prototypes: dict[str, np.ndarray], text: str = "text", pred: str = "lang_pred", score: str = "score") -> DataFrame:
+    """``df`` with ``pred`` (a language) and ``score``, the cosine cut to 0..1.
 
     A null or empty text, one without a letter, and any text if there are no prototypes give
     ``und`` and 0. Equal cosines give the language first in the alphabet. Whole texts count,
@@ -123,15 +123,15 @@ def predict(df: DataFrame, prototypes: dict[str, np.ndarray], text: str = "text"
 
         def work(texts):
             grams, bounds = _grams(texts)
-            best, score = [UNDETERMINED] * len(texts), np.zeros(len(texts))
+            best, cosine = [UNDETERMINED] * len(texts), np.zeros(len(texts))
             if len(names):
                 for i in np.flatnonzero(np.diff(bounds)).tolist():
                     vector = _bundle(*np.unique(grams[bounds[i] : bounds[i + 1]], return_counts=True), matrix.shape[1])
                     cosines = matrix @ vector / max(np.linalg.norm(vector), 1e-12)
                     k = int(np.argmax(cosines))
-                    best[i], score[i] = names[k], min(1.0, max(0.0, float(cosines[k])))
-            return [pa.array(best, pa.string()), pa.array(score)]
+                    best[i], cosine[i] = names[k], min(1.0, max(0.0, float(cosines[k])))
+            return [pa.array(best, pa.string()), pa.array(cosine)]
 
         return work
 
-    return add_columns(df, text, make, [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())], SLICE_BYTES)
+    return add_columns(df, text, make, [T.StructField(pred, T.StringType()), T.StructField(score, T.DoubleType())], SLICE_BYTES)

@@ -68,7 +68,7 @@ def op8_language(spark, sf_dir):
 
 
 def op9_jaccard(spark, sf_dir):
-    return jaccard.join(table(spark, sf_dir, "documents"))
+    return jaccard.join(table(spark, sf_dir, "documents")).drop("set_id", "group_id")
 
 
 def op10_token_files(spark, sf_dir):

@@ -30,11 +30,24 @@ def shared_folder(spark: SparkSession, name: str) -> str:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet in the shared folder and read again."""
+    """``df`` written as Parquet in the shared folder and read again; :func:`discard` deletes it."""
     spark = df.sparkSession
     path = shared_folder(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete tables of :func:`stored` that nothing reads any more, through Hadoop."""
+    for table in tables:
+        path = getattr(table, "_stored", None)
+        if path:
+            spark = table.sparkSession
+            place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+            table._stored = None
 
 
 def fresh(columns: list[str], stem: str) -> str:
@@ -56,12 +69,6 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def discard(spark: SparkSession, path: str) -> None:
-    """Delete a folder of :func:`shared_folder` through Hadoop, if it is there."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
-
-
 def filesystem(uri: str):
     """``(pyarrow filesystem, path)`` for a URI or a plain path; works on executors."""
     from pyarrow import fs
