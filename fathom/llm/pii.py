@@ -136,9 +136,10 @@ def disclosing_terms(rows: DataFrame) -> DataFrame | None:
     entities = texts.select(F.explode("entities").alias("entity"), "copies").groupBy("entity").agg(F.sum("copies").alias("holders"))
     all_rows = F.lit(rows.count())
     content, told = F.log2(all_rows / F.col("holders")), F.log2(F.col("both") * all_rows / (F.col("holders") * F.col("in_all")))
-    measured = supported.join(terms, "term").join(entities, "entity").select("entity", "term", content.alias("content"), told.alias("told"))
-    close = (F.col("content") > 0) & (F.col("told") >= DISCLOSURE * F.col("content")) & (F.col("content") - F.col("told") <= LEFT_BITS)
-    out = stored(measured.where(close), "pii-disclosing")
+    # What a term leaves open is -log2 of the entity's share of the term's documents: compared without logarithms.
+    near = supported.join(terms, "term").where(F.col("both") >= 2**-LEFT_BITS * F.col("in_all"))
+    measured = near.join(entities, "entity").select("entity", "term", content.alias("content"), told.alias("told"))
+    out = stored(measured.where((F.col("content") > 0) & (F.col("told") >= DISCLOSURE * F.col("content"))), "pii-disclosing")
     return out if out.limit(1).count() else None
 
 
