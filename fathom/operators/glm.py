@@ -475,8 +475,7 @@ class GeneralizedLinearRegressor:
             pearson = np.sum(rows.w * (rows.y - mu) ** 2 / family.unit_variance(mu))
             meat = np.zeros((k, k))
             if robust and not clustered:
-                s = rows.scores(family.score_weight(link, rows.y, eta, mu, rows.w))
-                meat = s.T @ s
+                meat = rows.gram(family.score_weight(link, rows.y, eta, mu, rows.w) ** 2)
             return np.concatenate([[rows.w.sum(), pearson], rows.gram(weight).ravel(), meat.ravel(), rows.gram(np.ones(len(rows.y))).ravel()])
 
         sums = moments.summed(coded.table, partial, 2 + 3 * k * k)
@@ -516,10 +515,12 @@ class GeneralizedLinearRegressor:
 
         def partial(batches):
             for batch in batches:
-                if batch.num_rows:
-                    rows = moments.batch_rows(batch, layout, centres)
+                # Scores are dense rows, so only some millions of numbers of them at once.
+                for start in range(0, batch.num_rows, max(1, (4 << 20) // k)):
+                    part = batch.slice(start, max(1, (4 << 20) // k))
+                    rows = moments.batch_rows(part, layout, centres)
                     eta = rows.predictor(coef)
-                    names, sums = by_key(batch.column("cluster"), rows.scores(family.score_weight(link, rows.y, eta, link.inverse(eta), rows.w)))
+                    names, sums = by_key(part.column("cluster"), rows.scores(family.score_weight(link, rows.y, eta, link.inverse(eta), rows.w)))
                     yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), _lists(sums)], ["cluster", "s"])
 
         def _lists(rows: np.ndarray):

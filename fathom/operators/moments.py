@@ -74,7 +74,7 @@ class Rows:
         return out
 
     def scores(self, s: np.ndarray) -> np.ndarray:
-        """Row scores as a dense matrix; only for the middle of a robust covariance."""
+        """Row scores as a dense matrix; callers bound the rows."""
         out = np.zeros((len(s), 1 + self.width))
         out[:, 0] = s
         if self.places:

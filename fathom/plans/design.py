@@ -13,8 +13,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Vocabularies up to this size are literal maps in the plan; larger ones a join with the model's own level table.
-LITERAL_LEVELS = 200
+#: Vocabularies up to this size are literal maps in the plan; larger ones a join with the model's own level table,
+#: which is broadcast up to a size.
+LITERAL_LEVELS, BROADCAST_LEVELS = 200, 500_000
 NUMERIC = (T.NumericType, T.BooleanType)
 
 
@@ -153,7 +154,8 @@ def _coded(df: DataFrame, f: Factor, name: str) -> tuple[DataFrame, Column]:
             found = F.element_at(F.create_map(*pairs), key)
     else:
         table = df.sparkSession.createDataFrame(list(zip(levels, range(len(levels)))), f"{name}_key string, {name} int")
-        df = df.join(F.broadcast(table), key == F.col(f"{name}_key"), "left").drop(f"{name}_key")
+        table = F.broadcast(table) if len(levels) <= BROADCAST_LEVELS else table
+        df = df.join(table, key == F.col(f"{name}_key"), "left").drop(f"{name}_key")
         found = F.col(name)
     null = F.lit(len(levels)) if f.missing else F.lit(-1) if f.method in ("zero", "convert") else F.raise_error(F.lit(f"Categorical data can't have missing values: {f.name}")).cast("int")
     if f.method == "convert" and not f.missing:
