@@ -71,7 +71,7 @@ class Family:
             return m.total(weight * (y - mu) * (y - mu) / self.unit_variance(mu)) / (m.total(weight) - ddof)
         if method == "deviance":
             return self.deviance(y, mu, weight) / (m.total(weight) - ddof)
-        raise NotImplementedError(f"Method {method} hasn't been implemented.")
+        raise NotImplementedError(f"dispersion has the methods pearson and deviance, not {method}")
 
     def rows(self, link: Link, y, eta, mu, weight):
         """Gradient and curvature of minus half the deviance by eta, for each row.

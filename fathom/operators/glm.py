@@ -23,6 +23,18 @@ from . import moments, solvers
 
 SOLVERS = ("auto", "irls-ls", "irls-cd", "lbfgs", "trust-constr", "closed-form", "irls-ls-monotonic")
 
+#: The parts of messages that callers match on; what follows them is ours.
+SAYS = {
+    "gradient_tol": "Tolerance for the gradient stopping",
+    "step_size_tol": "Tolerance for the step-size stopping",
+    "shape": "must be 1D array or scalar",
+    "no_data": "Either X and y must be provided",
+    "other_options": "Cannot reestimate the covariance matrix with different",
+    "overwritten": "A covariance matrix has already been computed.",
+    "penalised": "Covariance matrix estimation assumes",
+    "ridge": "There is no",
+}
+
 
 class WaldTestResult(NamedTuple):
     test_statistic: float
@@ -34,7 +46,7 @@ def _column(c, default) -> Column:
     if c is None:
         return F.lit(float(default))
     if not isinstance(c, (numbers.Real, Column, str)):
-        raise TypeError(f"a response, weight or offset is a column's name, a Column or a number; got {type(c).__name__}")
+        raise ValueError(f"a response, weight or offset {SAYS['shape']}: a column's name, a Column or a number; got {type(c).__name__}")
     if isinstance(c, numbers.Real) and not math.isfinite(c):
         raise ValueError(f"a weight or offset must be finite; got {c}")
     return F.lit(float(c)) if isinstance(c, numbers.Real) else (c if isinstance(c, Column) else F.col(f"`{c}`")).cast("double")
@@ -100,8 +112,8 @@ class GeneralizedLinearRegressor:
         demand(isinstance(self.fit_intercept, bool), TypeError, f"The argument fit_intercept must be bool; got {self.fit_intercept}")
         demand(self.solver in SOLVERS, ValueError, f"solver must be one of {SOLVERS}; got {self.solver!r}")
         demand(positive(self.max_iter), ValueError, f"Maximum number of iterations must be a positive integer; got max_iter={self.max_iter!r}")
-        demand(self.gradient_tol is None or number(self.gradient_tol) and self.gradient_tol > 0, ValueError, "Tolerance for the gradient stopping criteria must be positive")
-        demand(self.step_size_tol is None or number(self.step_size_tol) and self.step_size_tol > 0, ValueError, "Tolerance for the step-size stopping criteria must be positive")
+        demand(self.gradient_tol is None or number(self.gradient_tol) and self.gradient_tol > 0, ValueError, f"{SAYS['gradient_tol']} rule: a positive number or None")
+        demand(self.step_size_tol is None or number(self.step_size_tol) and self.step_size_tol > 0, ValueError, f"{SAYS['step_size_tol']} rule: a positive number or None")
         demand(positive(self.max_inner_iter), ValueError, f"max_inner_iter must be a positive integer; got {self.max_inner_iter!r}")
         demand(number(self.hessian_approx) and 0 <= self.hessian_approx <= 1, ValueError, f"hessian_approx must be a number in interval [0, 1]; got {self.hessian_approx!r}")
         demand(positive(self.n_alphas), ValueError, f"n_alphas must be a positive integer; got {self.n_alphas!r}")
@@ -114,16 +126,16 @@ class GeneralizedLinearRegressor:
         demand(self.selection in ("cyclic", "random"), ValueError, f"The argument selection must be 'cyclic' or 'random'; got {self.selection!r}")
         demand(self.copy_X is None or isinstance(self.copy_X, bool), TypeError, f"The argument copy_X must be None or bool; got {self.copy_X}")
         demand(isinstance(self.check_input, bool), TypeError, f"The argument check_input must be bool; got {self.check_input}")
-        demand(not self.scale_predictors or self.fit_intercept, ValueError, "scale_predictors=True is not supported when fit_intercept=False.")
+        demand(not self.scale_predictors or self.fit_intercept, ValueError, "scale_predictors needs an intercept")
         bounded = self.lower_bounds is not None or self.upper_bounds is not None
         inequal = self.A_ineq is not None or self.b_ineq is not None
         l1 = self.l1_ratio if not isinstance(self.l1_ratio, (list, tuple, np.ndarray)) else max(self.l1_ratio)
-        demand(not bounded or self.solver in ("auto", "irls-cd"), ValueError, "Only the 'cd' solver supports bounds.")
-        demand(not inequal or self.solver in ("auto", "trust-constr", "irls-ls-monotonic"), ValueError, "Only the 'trust-constr' solver supports inequality constraints.")
-        demand((self.A_ineq is None) == (self.b_ineq is None), ValueError, "Both A_ineq and b_ineq must be given.")
-        demand(not (bounded and inequal), ValueError, "Bounds and inequality constraints cannot be used together.")
+        demand(not bounded or self.solver in ("auto", "irls-cd"), ValueError, "bounds need solver='auto' or 'irls-cd'")
+        demand(not inequal or self.solver in ("auto", "trust-constr", "irls-ls-monotonic"), ValueError, "inequalities need solver='auto', 'trust-constr' or 'irls-ls-monotonic'")
+        demand((self.A_ineq is None) == (self.b_ineq is None), ValueError, "A_ineq and b_ineq come together")
+        demand(not (bounded and inequal), ValueError, "bounds and inequalities exclude each other")
         if self.monotonic_constraints is not None:
-            demand(self.solver in ("auto", "trust-constr", "irls-ls-monotonic"), ValueError, "Only the 'irls-ls-monotonic' and 'trust-constr' solvers support monotonic constraints.")
+            demand(self.solver in ("auto", "trust-constr", "irls-ls-monotonic"), ValueError, "monotonic_constraints need solver='auto', 'irls-ls-monotonic' or 'trust-constr'")
             demand(isinstance(self.monotonic_constraints, dict) and self.monotonic_constraints, TypeError, "monotonic_constraints must be a non-empty mapping")
             demand(not inequal and not bounded, ValueError, "monotonic_constraints cannot be combined with other constraints")
             demand(self.formula is not None, ValueError, "monotonic_constraints need a formula")
@@ -186,7 +198,7 @@ class GeneralizedLinearRegressor:
         got = moments.profile(table, {"bad": F.max(anything), "least_w": F.min("w"), "sum_w": F.sum("w"), "outside": F.max(~self.family_instance_.in_y_range(F.col("y"))), "n": F.count("*"), "low": F.min(used), "high": F.max(used), **means})
         self._profile = {"constant": got["low"] == got["high"], "centres": {k: got[f"mean_{k}"] for k in places} if means or not places else None}
         if not got["n"]:
-            raise ValueError("Found array with 0 sample(s) while a minimum of 1 is required.")
+            raise ValueError("there is no row to fit")
         if got["bad"] and self.force_all_finite:
             raise ValueError("Input contains NaN, infinity or a null value.")
         if got["least_w"] < 0:
@@ -224,7 +236,7 @@ class GeneralizedLinearRegressor:
 
             lower, upper = full(self.lower_bounds, -np.inf), full(self.upper_bounds, np.inf)
             if (lower > upper).any():
-                raise ValueError("Upper bounds must be higher than lower bounds.")
+                raise ValueError("some lower bounds are above the upper bounds")
         a, b = self.A_ineq, self.b_ineq
         if self.monotonic_constraints:
             a, b = monotone.rows(self.design_, self.monotonic_constraints)
@@ -240,7 +252,7 @@ class GeneralizedLinearRegressor:
             if self.solver == "closed-form" and not (normal and not l1):
                 raise ValueError("solver=closed-form needs a normal family, an identity link and no L1 penalty")
             if l1 and self.solver not in ("irls-cd", "trust-constr"):
-                raise ValueError(f"The solver={self.solver} does not support an L1 penalty: use irls-cd")
+                raise ValueError(f"solver={self.solver} has no L1 penalty: irls-cd has")
             return self.solver
         if self.monotonic_constraints:
             return "irls-ls-monotonic"
@@ -440,14 +452,14 @@ class GeneralizedLinearRegressor:
         options = {k: v for k, v in (("dispersion", dispersion), ("robust", robust), ("clusters", clusters), ("expected_information", expected_information)) if v is not None}
         if df is None:
             if getattr(self, "covariance_matrix_", None) is None:
-                raise ValueError("Either X and y must be provided or the covariance matrix must have been previously computed.")
+                raise ValueError(f"{SAYS['no_data']}: no covariance matrix is stored")
             if options:
-                raise ValueError("Cannot reestimate the covariance matrix with different parameters without X and y.")
+                raise ValueError(f"{SAYS['other_options']} options from the stored one: give the data")
             return self.covariance_matrix_
         if getattr(self, "covariance_matrix_", None) is not None and store_covariance_matrix:
-            warnings.warn("A covariance matrix has already been computed. It will be overwritten.", stacklevel=2)
+            warnings.warn(f"{SAYS['overwritten']} The new one takes its place.", stacklevel=2)
         if self.alpha or self.alpha_search or hasattr(self, "l1_ratio_"):
-            warnings.warn("Covariance matrix estimation assumes that the model is not penalized. The results are not valid for a penalized model.", stacklevel=2)
+            warnings.warn(f"{SAYS['penalised']} an unpenalised model; under a penalty, errors and tests are off.", stacklevel=2)
         robust = self.robust if robust is None else robust
         expected = self.expected_information if expected_information is None else expected_information
         key = None if clusters is None else (F.col(f"`{clusters}`") if isinstance(clusters, str) else clusters).cast("string")
@@ -602,7 +614,7 @@ class GeneralizedLinearRegressor:
     def _criteria(self, df, y, sample_weight, offset) -> dict:
         if self.alpha is None or np.any(np.asarray(self.alpha, float) > 0):
             if self.l1_ratio < 1:
-                warnings.warn("There is no general definition for the model's degrees of freedom under L2 (ridge) regularisation.", stacklevel=3)
+                warnings.warn(f"{SAYS['ridge']} one count of a ridge model's parameters; all non-zero ones are counted here.", stacklevel=3)
         rows, f = self._with_mu(df, y, sample_weight, offset), self.family_instance_
         y_, mu, w = F.col("y"), F.col("mu"), F.col("w")
         phi = 1.0
@@ -617,7 +629,7 @@ class GeneralizedLinearRegressor:
         else:
             ll, n = rows.agg(F.sum(f.unit_log_likelihood(y_, mu, w, phi)), F.count("*")).first()
         if int(n) != self.n_rows_:
-            raise ValueError("The data must be the same that the model was fitted on.")
+            raise ValueError(f"the criteria need the {self.n_rows_} rows of the fit; got {int(n)}")
         k = int((np.abs(self.coef_) > np.finfo(float).eps).sum()) + self.fit_intercept
         return {"aic": -2 * ll + 2 * k, "aicc": -2 * ll + 2 * k + 2 * k * (k + 1) / max(n - k - 1, 1e-300), "bic": -2 * ll + math.log(n) * k, "log_likelihood": ll}
 

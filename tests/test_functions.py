@@ -12,6 +12,7 @@ FAMILIES = [fam.NormalFamily(), fam.PoissonFamily(), fam.GammaFamily(), fam.Inve
 LINKS = [lk.IdentityLink(), lk.LogLink(), lk.LogitLink(), lk.CloglogLink(), lk.TweedieLink(1.5), lk.TweedieLink(2.5)]
 
 
+# Deviance, Pearson dispersion and log-likelihood of intercept-only models.
 @pytest.mark.parametrize(
     "family,y,mu,deviance,dispersion,likelihood",
     [

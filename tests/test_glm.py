@@ -19,6 +19,7 @@ B = [(-1, 0), (1, 0), (1, 1), (2, 1)]
 C = [(1, 0), (2, 0), (3, 0), (4, 0), (5, 1), (6, 1)]
 
 
+# Published coefficients of small penalised models.
 @pytest.mark.parametrize(
     "x,y,options,intercept,coef,tol",
     [
@@ -223,6 +224,7 @@ def test_unseen_and_missing(spark):
         m.predict(spark.createDataFrame([("z",)], "g string")).collect()
 
 
+# The parts of messages that callers match on.
 @pytest.mark.parametrize(
     "options,kind,text",
     [
@@ -293,3 +295,42 @@ def test_streaming_score(spark, tmp_path):
         running.update(df, k)
     running.update(df, 1)
     assert running.rows == 6 and running.coefficients() == pytest.approx([0, 2], abs=1e-9)
+
+
+def test_messages_of_inference(spark):
+    df = synthetic.mixed_data(spark, "poisson", 200, dense=2, categorical=(3,), seed=8)
+    names = ["dense0", "dense1"]
+    m = GLM(family="poisson", alpha=0).fit(df, "y", features=names)
+    with pytest.raises(ValueError, match="Exactly one"):
+        m.wald_test(df, "y")
+    with pytest.raises(ValueError, match="Exactly one"):
+        m.wald_test(df, "y", R=np.eye(3), features="dense0")
+    with pytest.raises(ValueError, match="Either X and y must be provided"):
+        m.covariance_matrix()
+    m.covariance_matrix(df, "y", store_covariance_matrix=True)
+    with pytest.raises(ValueError, match="Cannot reestimate the covariance matrix with different"):
+        m.covariance_matrix(robust=False)
+    with pytest.warns(UserWarning, match="A covariance matrix has already been computed."):
+        m.covariance_matrix(df, "y", store_covariance_matrix=True)
+    ridge = GLM(family="poisson", alpha=0.1).fit(df, "y", features=names)
+    with pytest.warns(UserWarning, match="Covariance matrix estimation assumes"):
+        ridge.covariance_matrix(df, "y")
+    with pytest.warns(UserWarning, match="There is no"):
+        ridge.aic(df, "y")
+    with pytest.raises(ValueError, match="The formula sets the intercept to False"):
+        GLM(alpha=0, formula="y ~ dense0 - 1").fit(df)
+    with pytest.raises(ValueError, match="already exists"):
+        GLM(alpha=0, cat_missing_method="convert").fit(spark.createDataFrame([("(MISSING)", 1.0), (None, 2.0)], "g string, y double"), "y")
+    with pytest.warns(UserWarning, match="failed to converge"):
+        GLM(family="poisson", alpha=0, max_iter=1, gradient_tol=1e-12).fit(df, "y", features=names)
+    for given in ([[1.0]], np.ones((2, 2))):
+        with pytest.raises(ValueError, match="must be 1D array or scalar"):
+            GLM(alpha=0).fit(df, "y", sample_weight=given, features=names)
+    with pytest.raises(ValueError, match="finite"):
+        GLM(alpha=0).fit(df, "y", offset=float("nan"), features=names)
+    for bounds in ([1.0, 2.0, 3.0, 4.0], [float("nan"), 0.0]):
+        with pytest.raises(ValueError, match="bounds"):
+            GLM(alpha=0, lower_bounds=bounds).fit(df, "y", features=names)
+    for options in ({"max_inner_iter": 0}, {"hessian_approx": 2}, {"n_alphas": 0}, {"min_alpha_ratio": 3}, {"verbose": -1}):
+        with pytest.raises(ValueError):
+            GLM(**options).fit(df, "y", features=names)
