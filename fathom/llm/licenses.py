@@ -117,8 +117,10 @@ def scan(df: DataFrame, doc_id: str = "doc_id", text: str = "text", digests: Dat
 
     ``text_license`` is the licence that the whole text is, ``licenses`` the sorted distinct ones
     of its whole text, lines and runs of words, joined by commas ('' if none). A null text is an
-    empty one. Rows with equal doc_id share ``licenses``; a null doc_id has those of its whole
-    text only. ``digests``, a table like :func:`known`, replaces the fixed list; it is broadcast,
+    empty one and no licence. Rows with equal doc_id share ``licenses``; a null doc_id has those of
+    its whole text only. Of licences with one digest the first by name is it. Repeated rows stay,
+    very long texts are read in full, an empty table gives an empty table. Only the two columns
+    are read, so others may have any names. ``digests``, a table like :func:`known`, replaces the fixed list; it is broadcast,
     and texts are never shuffled.
     """
     spark = df.sparkSession

@@ -30,6 +30,9 @@ STEM_SHARES = (0.004, 0.008, 0.016, 0.032)
 #: Odd multipliers that spread hashes over the buckets.
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 
+#: Of each level of a stem's share.
+_LEVELS = np.arange(1, len(STEM_SHARES) + 1, dtype=np.uint64) * _MIX[1]
+
 
 def features(words: np.ndarray, stems: np.ndarray, bits: int = BITS) -> np.ndarray:
     """Distinct buckets of a text: words, pairs of words up to two words apart, and stems.
@@ -46,8 +49,8 @@ def features(words: np.ndarray, stems: np.ndarray, bits: int = BITS) -> np.ndarr
     found, counts = found[found != 0], counts[found != 0]
     out.append(found * _MIX[1])
     found, counts = found[counts > 1], counts[counts > 1]
-    for level, share in enumerate(STEM_SHARES, 1):
-        out.append(found[counts >= share * len(words)] * _MIX[2] + np.uint64(level) * _MIX[1])
+    for level, share in zip(_LEVELS, STEM_SHARES):
+        out.append(found[counts >= share * len(words)] * _MIX[2] + level)
     return np.unique(np.concatenate(out) * _MIX[0] >> np.uint64(64 - bits)).astype(np.int32)
 
 
@@ -103,7 +106,9 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, bits: int =
     At most ``rows`` ids of each class are taken, the first by a hash of the id, and their texts
     found by a broadcast of these ids. The texts' buckets are dealt to ``SHARDS`` tasks; their
     models are averaged. Labels other than 0 and 1 and null texts are left out; a doc_id with
-    both labels counts as toxic. Without both classes the model is empty and its bias the share.
+    both labels counts as toxic, null ids count for nothing, and of texts under one id each is a
+    row. Without both classes, as in empty tables, the model is empty and its bias the share. Only
+    the named columns are read, so others may have any names; whole texts count, however long.
     """
     spark = docs.sparkSession
     clean = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -131,7 +136,9 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, bits: int =
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], text: str = "text", bits: int = BITS) -> DataFrame:
     """``docs`` with ``score``, the probability of label 1 from the whole text.
 
-    Null and empty texts get the score of the bias alone. Rows are kept as they are.
+    Null and empty texts get the score of the bias alone; equal texts have equal scores. Rows are
+    kept as they are, repeated ones and null ids too; a column named ``score`` is replaced, all
+    others stay. An empty table gives an empty table.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
