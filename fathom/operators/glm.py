@@ -275,7 +275,7 @@ class GeneralizedLinearRegressor:
         normal = self.family_instance_ == NormalFamily() and self.link_instance_ == IdentityLink()
         return solvers.Problem(
             space, weight, p1, p2, None if lower is None else lower / s, None if upper is None else upper / s, None if a is None else a * s, b, fold, tol, self.step_size_tol,
-            self.max_iter, self.max_inner_iter, self.selection, self.random_state, normal and a is None and lower is None,
+            self.max_iter, self.max_inner_iter, self.selection, self.random_state, normal and a is None and lower is None, getattr(self, "n_rows_", 0),
         )
 
     def _start(self, space, m: dict, constrained) -> np.ndarray:

@@ -7,6 +7,7 @@ slope at the full one, so an accepted full step needs no job of its own.
 
 from __future__ import annotations
 
+import time
 import warnings
 from dataclasses import dataclass, field
 
@@ -84,7 +85,9 @@ class Problem:
     selection: str = "cyclic"
     seed: int | None = None
     quadratic: bool = False
+    rows: int = 0
     diagnostics: list[dict] = field(default_factory=list)
+    clock: float = field(default_factory=time.perf_counter)
 
     def penalty(self, beta):
         return float(self.p1 @ np.abs(beta[1:]) + 0.5 * beta[1:] @ self.p2 @ beta[1:])
@@ -237,10 +240,12 @@ def irls(problem: Problem, start: np.ndarray, inner: str):
 
 
 def _row(p, n, norm, objective, beta, step, active, cycles, tries):
+    """What is recorded of an iteration; its seconds are those since the one before, with the passes it waited for."""
+    before, p.clock = p.clock, time.perf_counter()
     return {
         "n_iter": n, "convergence": float(norm), "objective_fct": float(objective), "coef_l1": float(np.abs(beta).sum()), "coef_l2": float(np.linalg.norm(beta)),
         "step_l2": 0.0 if step is None else float(np.linalg.norm(step)), "first_coef": float(beta[0]), "n_coef_updated": 0 if step is None else int((step != 0).sum()),
-        "n_active_cols": int(active), "n_cycles": int(cycles), "n_line_search": int(tries),
+        "n_active_cols": int(active), "n_active_rows": int(p.rows), "iteration_runtime": p.clock - before, "n_cycles": int(cycles), "n_line_search": int(tries),
     }
 
 
@@ -362,7 +367,7 @@ def along(name: str, problems: list[Problem], start: np.ndarray):
 def run(coded: Coded, family, link, coroutines: list) -> list:
     """Run optimisers together, one Spark job for each round of their requests."""
     results: list = [None] * len(coroutines)
-    waiting = {}
+    waiting, rounds = {}, 0
     for k, c in enumerate(coroutines):
         try:
             waiting[k] = next(c)
@@ -370,6 +375,8 @@ def run(coded: Coded, family, link, coroutines: list) -> list:
             results[k] = end.value
     while waiting:
         flat = [(k, r) for k, rs in waiting.items() for r in rs]
+        rounds += 1
+        coded.table.sparkSession.sparkContext.setJobDescription(f"fit: pass {rounds} for {len(flat)} requests")
         answers = evaluate(coded, family, link, [r for _, r in flat])
         by: dict[int, list[Answer]] = {}
         for (k, _), answer in zip(flat, answers):
@@ -381,4 +388,5 @@ def run(coded: Coded, family, link, coroutines: list) -> list:
             except StopIteration as end:
                 results[k] = end.value
         waiting = again
+    coded.table.sparkSession.sparkContext.setJobDescription(None)
     return results
