@@ -122,14 +122,15 @@ def _cells_only(batches):
 
 
 def _filed(batches):
-    """A row ``cell, node, copies, embedding`` for each distinct cell of a vector."""
+    """A row ``cell, length, node, copies, embedding`` for each distinct cell of a vector."""
     for batch in batches:
         for rows, matrix in _matrices(batch.column("embedding")):
             for at in range(0, len(rows), 2000):
                 numbers = cells(_unit(matrix[at : at + 2000])).reshape(len(rows[at : at + 2000]), -1)
                 row, col = np.nonzero(_distinct(numbers))
                 take = pa.array(rows[at : at + 2000][row])
-                yield pa.RecordBatch.from_arrays([pa.array(numbers[row, col]), *(batch.column(c).take(take) for c in ("node", "copies", "embedding"))], ["cell", "node", "copies", "embedding"])
+                length = pa.array(np.full(len(row), matrix.shape[1], np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array(numbers[row, col]), length, *(batch.column(c).take(take) for c in ("node", "copies", "embedding"))], ["cell", "length", "node", "copies", "embedding"])
 
 
 def _met_before(a: np.ndarray, b: np.ndarray, cell: int) -> np.ndarray:
@@ -155,17 +156,20 @@ def _compare_block(cell: int, low: tuple, high: tuple | None):
             x = parent[x]
         return x
 
-    own, theirs = cells(left).reshape(len(left), -1), cells(right).reshape(len(right), -1)
     for top in range(0, len(left), STRIP):
         i, j = np.nonzero(left[top : top + STRIP] @ right.T >= COSINE)
         i += top
         apart = node[i] < other[j] if high is None else node[i] != other[j]
         i, j = i[apart], j[apart]
+        if not len(i):
+            continue
         # A pair counts in the least cell that both have, so a pair met in several tables counts once.
+        (rows_i, at_i), (rows_j, at_j) = np.unique(i, return_inverse=True), np.unique(j, return_inverse=True)
+        own, theirs = cells(left[rows_i]).reshape(len(rows_i), -1), cells(right[rows_j]).reshape(len(rows_j), -1)
         first = np.ones(len(i), bool)
         for at in range(0, len(i), 200_000):
             part = slice(at, at + 200_000)
-            first[part] = ~_met_before(own[i[part]], theirs[j[part]], cell)
+            first[part] = ~_met_before(own[at_i[part]], theirs[at_j[part]], cell)
         i, j = i[first], j[first]
         for keys, size in ((node[i], other_copies[j]), (other[j], copies[i])):
             found, of = np.unique(keys, return_inverse=True)
@@ -179,51 +183,54 @@ def _compare_block(cell: int, low: tuple, high: tuple | None):
     return list(counts.items()), edges
 
 
-def _by_length(node: np.ndarray, copies: np.ndarray, vectors: pa.Array) -> dict[int, tuple]:
-    """Rows of each length of vectors, as (nodes, copies, units)."""
-    out: dict[int, list[tuple]] = {}
-    for rows, matrix in _matrices(vectors):
-        out.setdefault(matrix.shape[1], []).append((node[rows], copies[rows], _unit(matrix)))
-    return {size: tuple(np.concatenate(c) for c in zip(*parts)) for size, parts in out.items()}
-
-
 def _compare(batches):
-    """Rows sorted by (cell, x, y, side) to rows (a, b, links): b is null for counts.
+    """Rows sorted by (cell, x, y, length, side) to rows (a, b, links): b is null for counts.
 
     Held at once is one pair of blocks of a cell.
     """
-    names = ("cell", "x", "y", "side")
     key, held = None, []
+    found: list[tuple] = []
 
-    def flush():
-        side, node, copies = (np.concatenate([h[k] for h in held]) for k in (0, 1, 2))
-        vectors = pa.concat_arrays([h[3] for h in held])
-        cut = int(np.searchsorted(side, 1))
-        rows = []
+    def settle():
+        side, node, copies, units = (np.concatenate([h[k] for h in held]) if len(held) > 1 else held[0][k] for k in range(4))
         if len(node) > 1:
-            low, high = _by_length(node[:cut], copies[:cut], vectors.slice(0, cut)), _by_length(node[cut:], copies[cut:], vectors.slice(cut))
-            for size, mine in low.items():
-                if key[1] == key[2] or size in high:
-                    counts, edges = _compare_block(key[0], mine, None if key[1] == key[2] else high[size])
-                    rows += [(a, None, n) for a, n in counts] + [(a, b, None) for a, b in edges]
-        a, b, n = zip(*rows) if rows else ((), (), ())
+            cut = len(node) if key[1] == key[2] else int(np.searchsorted(side, 1))
+            low, high = (node[:cut], copies[:cut], units[:cut]), (node[cut:], copies[cut:], units[cut:])
+            if key[1] == key[2] or len(low[0]) and len(high[0]):
+                counts, edges = _compare_block(key[0], low, None if key[1] == key[2] else high)
+                found.extend((a, None, n) for a, n in counts)
+                found.extend((a, b, None) for a, b in edges)
+
+    def rows():
+        a, b, n = zip(*found) if found else ((), (), ())
+        found.clear()
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(n, pa.int64())], ["a", "b", "links"])
 
     for batch in batches:
         if not batch.num_rows:
             continue
-        columns = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in names])
-        cuts = [0, *(np.flatnonzero((columns[:3, 1:] != columns[:3, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
-        node, copies, vectors = batch.column("node").to_numpy(), batch.column("copies").to_numpy(), batch.column("embedding")
-        for start, end in zip(cuts, cuts[1:]):
-            now = tuple(columns[:3, start].tolist())
+        columns = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("cell", "x", "y", "length", "side")])
+        cuts = [0, *(np.flatnonzero((columns[:4, 1:] != columns[:4, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+        node, copies = batch.column("node").to_numpy(), batch.column("copies").to_numpy()
+        units: dict[int, np.ndarray] = {}
+        place = np.empty(batch.num_rows, np.int64)
+        for size in np.unique(columns[3]).tolist():
+            some = np.flatnonzero(columns[3] == size)
+            place[some] = np.arange(len(some))
+            units[size] = np.concatenate([_unit(m) for _, m in _matrices(batch.column("embedding").take(pa.array(some)))])
+        keys = columns[:4, cuts[:-1]].T.tolist()
+        for now, start, end in zip(keys, cuts, cuts[1:]):
             if now != key:
                 if held:
-                    yield flush()
+                    settle()
                 key, held = now, []
-            held.append((columns[3, start:end], node[start:end], copies[start:end], vectors.slice(start, end - start)))
+            part = slice(int(place[start]), int(place[start]) + end - start)
+            held.append((columns[4, start:end], node[start:end], copies[start:end], units[now[3]][part]))
+        if len(found) >= 10_000:
+            yield rows()
     if held:
-        yield flush()
+        settle()
+    yield rows()
 
 
 def links(df: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
@@ -245,14 +252,14 @@ def links(df: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -
     sizes = vectors.mapInArrow(_cells_only, "cell long, size long").groupBy("cell").agg(F.sum("size").alias("size")).where("size > 1")
     # Cells of one vector meet nothing. The rest go out once with their vectors, by cell and pair of blocks.
     wide = stored(sizes.select("cell", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "lattice-cells")
-    filed = vectors.mapInArrow(_filed, f"cell long, node long, copies long, embedding {kind}")
+    filed = vectors.mapInArrow(_filed, f"cell long, length int, node long, copies long, embedding {kind}")
     split = wide.where("blocks > 1")
     split = F.broadcast(split) if split.count() <= BROADCAST_CELLS else split
     placed = filed.join(split, "cell", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
     # A block meets itself and every other block of its cell, as (x, y) with x <= y.
     dealt = placed.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("cell", F.least("block", "with").alias("x"), F.greatest("block", "with").alias("y"), (F.col("block") > F.col("with")).cast("int").alias("side"), "node", "copies", "embedding")
-    compared = dealt.repartition("cell", "x", "y").sortWithinPartitions("cell", "x", "y", "side").mapInArrow(_compare, "a long, b long, links long")
+    dealt = dealt.select("cell", F.least("block", "with").alias("x"), F.greatest("block", "with").alias("y"), (F.col("block") > F.col("with")).cast("int").alias("side"), "length", "node", "copies", "embedding")
+    compared = dealt.repartition("cell", "x", "y").sortWithinPartitions("cell", "x", "y", "length", "side").mapInArrow(_compare, "a long, b long, links long")
     found = stored(compared, "lattice-links")
     counts = found.where("b is null").groupBy("a").agg(F.sum("links").alias("links")).withColumnRenamed("a", "node")
     labels = components(found.where("b is not null").select("a", "b")).withColumnRenamed("id", "node")
