@@ -16,6 +16,8 @@ from pyspark.sql import types as T
 #: Vocabularies up to this size are literal maps in the plan; larger ones a join with the model's own level table,
 #: which is broadcast up to a size.
 LITERAL_LEVELS, BROADCAST_LEVELS = 200, 500_000
+#: Levels of all categorical columns of a fit together.
+MAX_LEVELS = 1_000_000
 NUMERIC = (T.NumericType, T.BooleanType)
 
 
@@ -167,17 +169,29 @@ def _coded(df: DataFrame, f: Factor, name: str) -> tuple[DataFrame, Column]:
 def discover_levels(df: DataFrame, sources: dict[str, Column], given: dict[str, list] | None = None) -> tuple[dict[str, list], dict[str, bool]]:
     """Sorted distinct values and whether there are nulls, for all columns in one job.
 
-    Levels given for a column are taken as they are, unused ones too.
+    Levels given for a column are taken as they are, unused ones too. Tasks send distinct values
+    only; a model has a coefficient for each on the driver, so more than MAX_LEVELS are refused.
     """
     given = given or {}
     if not sources:
         return {}, {}
-    wanted = []
-    for k, (name, c) in enumerate(sources.items()):
-        wanted += [(F.collect_set(c) if name not in given else F.lit(None)).alias(f"s{k}"), F.max(c.isNull()).alias(f"n{k}")]
-    row = df.agg(*wanted).first()
-    levels = {name: list(given[name]) if name in given else sorted(row[f"s{k}"]) for k, name in enumerate(sources)}
-    return levels, {name: bool(row[f"n{k}"]) for k, name in enumerate(sources)}
+    kinds = df.select(*(c.alias(f"c{k}") for k, c in enumerate(sources.values()))).schema
+    seen = [F.struct(F.lit(k).alias("k"), (c.cast("string") if name not in given else F.when(c.isNotNull(), F.lit(""))).alias("v")) for k, (name, c) in enumerate(sources.items())]
+    found = df.select(F.explode(F.array(*seen)).alias("s")).select("s.*").distinct().limit(MAX_LEVELS + 1).collect()
+    if len(found) > MAX_LEVELS:
+        raise ValueError(f"the categorical columns have more than {MAX_LEVELS} levels: bin them, or group the rare ones")
+    levels: dict[str, list] = {name: [] for name in sources}
+    nulls = dict.fromkeys(sources, False)
+    names = list(sources)
+    for k, v in found:
+        if v is None:
+            nulls[names[k]] = True
+        else:
+            levels[names[k]].append(v)
+    for field, name in zip(kinds, names):
+        number = isinstance(field.dataType, T.NumericType)
+        levels[name] = list(given[name]) if name in given else sorted(levels[name], key=(lambda v: (float(v), v)) if number else None)
+    return levels, nulls
 
 
 def make_factors(df: DataFrame, wanted: list[tuple[str, Column, bool, str]], levels: dict | None, missing_name: str) -> dict[str, Factor]:
