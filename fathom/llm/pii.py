@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import fresh, stored
+from .shared import discard, fresh, stored
 
 #: Kinds in the order of ties.
 KINDS = ("email", "ip", "card", "phone", "term")
@@ -140,6 +140,7 @@ def disclosing_terms(rows: DataFrame) -> DataFrame | None:
     near = supported.join(terms, "term").where(F.col("both") >= 2**-LEFT_BITS * F.col("in_all"))
     measured = near.join(entities, "entity").select("entity", "term", content.alias("content"), told.alias("told"))
     out = stored(measured.where((F.col("content") > 0) & (F.col("told") >= DISCLOSURE * F.col("content"))), "pii-disclosing")
+    discard(texts, supported, terms)
     return out if out.limit(1).count() else None
 
 
@@ -162,12 +163,14 @@ def find(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame
     found = disclosing_terms(rows)
     based = base_spans(docs, text)
     if found is None:
+        discard(rows)
         return based.withColumn("term", F.array().cast(_SPANS))
     terms = stored(found.select("term").distinct(), "pii-marked")
     held = rows.select("key", F.explode("words").alias("term")).join(_small(terms), "term").select("key", "term")
     longest = lambda a, b: F.length(b) - F.length(a)
     row, listed_, pattern, matches = (fresh(based.columns, n) for n in ("row", "terms", "pattern", "matches"))
     own = stored(held.groupBy(F.col("key").alias(row)).agg(F.array_sort(F.collect_set("term"), longest).alias(listed_)), "pii-own-terms")
+    discard(rows, found, terms)
     whole = F.coalesce(F.col(text), F.lit(""))
     joined = based.join(_small(own), F.xxhash64(F.col(doc_id), whole) == F.col(row), "left")
     joined = joined.withColumn(pattern, F.concat(F.lit(f"(?iu)(?<!{BOUND})(?:"), F.array_join(listed_, "|"), F.lit(f")(?!{BOUND})")))

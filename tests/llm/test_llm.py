@@ -194,7 +194,7 @@ def test_licenses_full_texts_and_runs_over_lines(spark):
     assert licenses.scan(df, digests=own).where("licenses <> ''").count() == 0
 
 
-def test_warc(spark):
+def test_warc(spark, tmp_path):
     big, small = "<p>" + "x" * 1200, "<p>small"
     rows = [(1, "http://a/ b\r\n", big), (2, None, big), (3, "u", small), (4, "u", small), (5, "u", None), (6, "u", "é" * 600), (None, "u", big), (2, "v", big), (7, "u", "")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
@@ -202,7 +202,7 @@ def test_warc(spark):
     by = [(r.page_id, r.record_type, r.refers_to, r.payload_bytes) for r in got]
     assert by == [(1, "revisit", 2, 1203), (2, "response", None, 1203), (2, "response", None, 1203), (3, "response", None, 8), (4, "response", None, 8), (5, "response", None, 0), (6, "response", None, 1200), (7, "response", None, 0), (None, "revisit", 2, 1203)]
     assert got[0].payload_digest == hashlib.sha1(big.encode()).hexdigest()
-    index = warc.write(pages, f"file:///tmp/fathom-test-{np.random.default_rng().integers(1 << 60)}")
+    index = warc.write(pages, f"file://{tmp_path}/warc")
     assert warc.read(index.where("page_id = 6")).first().payload.decode() == "é" * 600
     assert warc.round_trip(pages.where("false")).count() == 0
 
