@@ -35,7 +35,7 @@ DISTANCE = 0.2
 #: Keys of a window. Chosen for a recall of 0.95 of passages with random edits of DISTANCE itself.
 REPEATS = 4
 #: Least lengths of the classes of items, the steps of their walks, and how many of them are sampled.
-CLASSES = ((10, 6, 6), (20, 10, 9), (40, 18, 16), (80, 28, 25))
+CLASSES = ((10, 6, 6), (20, 10, 9), (40, 18, 16), (80, 24, 23))
 #: Characters of an item that are compared first, and the edits in them that a proposal may have.
 BLOCK, BLOCK_EDITS = 64, 20
 #: Windows walked at once, and proposals compared at once; they bound the memory.
