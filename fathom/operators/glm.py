@@ -408,8 +408,13 @@ class GeneralizedLinearRegressor:
 
         return [place(a) for a in alpha] if np.ndim(alpha) else place(alpha)
 
-    def linear_predictor(self, df: DataFrame, offset=None, *, alpha_index=None, alpha=None, column="linear_predictor") -> DataFrame:
-        """``df`` with the linear predictor: a lazy projection, an array for several alphas."""
+    def linear_predictor(self, df: DataFrame, offset=None, *, alpha_index=None, alpha=None, column="linear_predictor", context=None) -> DataFrame:
+        """``df`` with the linear predictor: a lazy projection, an array for several alphas.
+
+        A fitted formula holds its functions as expressions, so names of ``context`` are needed at the
+        fit only; those given here are checked and change nothing.
+        """
+        M.captured(context)
         at = self._index(alpha, alpha_index)
         several = isinstance(at, list)
         models = [(self.intercept_, self.coef_)] if at is None else [(self.intercept_path_[i], self.coef_path_[i]) for i in (at if several else [at])]
@@ -422,9 +427,9 @@ class GeneralizedLinearRegressor:
             parts.append(eta if offset is None else eta + _column(offset, 0))
         return out.select(*(f"`{c}`" for c in kept if c != column), (F.array(*parts) if several else parts[0]).alias(column))
 
-    def predict(self, df: DataFrame, sample_weight=None, offset=None, *, alpha_index=None, alpha=None, column="prediction") -> DataFrame:
+    def predict(self, df: DataFrame, sample_weight=None, offset=None, *, alpha_index=None, alpha=None, column="prediction", context=None) -> DataFrame:
         """``df`` with the mean, times the weight if one is given; works on streams too."""
-        out = self.linear_predictor(df, offset, alpha_index=alpha_index, alpha=alpha, column="_eta")
+        out = self.linear_predictor(df, offset, alpha_index=alpha_index, alpha=alpha, column="_eta", context=context)
         w = F.lit(1.0) if sample_weight is None else _column(sample_weight, 1)
         mean = F.transform("_eta", lambda e: self.link_instance_.inverse(e) * w) if isinstance(out.schema["_eta"].dataType, D.T.ArrayType) else self.link_instance_.inverse(F.col("_eta")) * w
         return out.withColumn(column, mean).drop("_eta")
@@ -449,6 +454,7 @@ class GeneralizedLinearRegressor:
 
     def covariance_matrix(self, df=None, y=None, sample_weight=None, offset=None, *, dispersion=None, robust=None, clusters=None, expected_information=None, store_covariance_matrix=False, context=None) -> np.ndarray:
         """Covariance of (intercept, coefficients): classical, robust (HC1) or clustered."""
+        context = M.captured(context)
         options = {k: v for k, v in (("dispersion", dispersion), ("robust", robust), ("clusters", clusters), ("expected_information", expected_information)) if v is not None}
         if df is None:
             if getattr(self, "covariance_matrix_", None) is None:
