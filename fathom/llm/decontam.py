@@ -92,7 +92,7 @@ class _Walk:
 
     def keys(self, letters: np.ndarray) -> np.ndarray:
         """The key of the window at each of ``letters``; those of the last ``steps`` are cut short."""
-        bits, values = self.moves[letters], self.values[letters]
+        bits, values = self.moves.take(letters), self.values.take(letters)
         key = np.zeros(len(letters) + 1, np.uint32)
         turn, new = np.empty_like(bits), np.empty_like(bits)
         for step in range(len(self.sampled) - 1, -1, -1):
