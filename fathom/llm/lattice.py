@@ -30,8 +30,8 @@ SCALE = 2.6
 BLOCK = 8192
 #: The largest squared distance of linked vectors' sketches: 1 / 127 is a byte's unit, each of 16 places is off by less than one.
 REACH = (127 * np.sqrt(2 - 2 * COSINE) + 4) ** 2
-#: Rows of a block compared at once.
-STRIP = 1024
+#: Rows of a block compared at once; a strip of linked rows holds STRIP x BLOCK pairs.
+STRIP = 256
 #: Cells of more than BLOCK vectors, and the vectors that are needed, are broadcast by number up to so many, else joined.
 BROADCAST_CELLS = 200_000
 _ODD = np.random.default_rng(8).integers(1, 1 << 62, 8, np.int64).view(np.uint64) * np.uint64(2) + np.uint64(1)
