@@ -50,7 +50,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     lost = stored(groups.join(keeper, "group_id").where(~kept_one).select(*named).distinct(), "pipeline-lost")
     twice = stored(groups.groupBy("doc_id", "set_id").count().where("count > 1").select(*named), "pipeline-twice")
     discard(groups, keeper)
-    kept = jaccard.with_sets(docs, set_id=own).join(lost, same, "left_anti")
+    # What goes is broadcast up to a size; beyond, the texts are shuffled by their keys.
+    few = lost.count() <= jaccard.BROADCAST_IDS
+    kept = jaccard.with_sets(docs, set_id=own).join(F.broadcast(lost) if few else lost, same, "left_anti")
     if not twice.limit(1).count():
         return kept.select(docs.columns)
     once = kept.join(twice, same, "left_semi").dropDuplicates(["doc_id", own])

@@ -430,4 +430,4 @@ def with_sets(df: DataFrame, text: str = "text", set_id: str = "set_id") -> Data
 
         return work
 
-    return add_columns(df, text, make, [T.StructField(set_id, T.LongType())])
+    return add_columns(df, text, make, [T.StructField(set_id, T.LongType())], 2 << 20)
