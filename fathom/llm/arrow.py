@@ -9,10 +9,11 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import fresh
+from .shared import fresh, is_local, release
 
 #: Bytes of text handled at once in a Python worker; a longer single text is a slice of its own.
 SLICE_BYTES = 4 << 20
@@ -159,3 +160,21 @@ def resource(key: tuple, make: Callable):
         tidy()
         _held[:] = key, make()
     return _held[1]
+
+
+def settle(spark: SparkSession) -> None:
+    """Let executors give back what finished steps have left in their memory, before the next one.
+
+    A JVM keeps the heap that a step has grown, and a Python worker its operator's tables; the
+    next step in the other of the two comes on top. A full collection returns most of the heap to
+    the system. One short task a core; executors and workers that get none keep their share.
+    """
+    release(spark)
+    tasks = 1 if is_local(spark) else spark.sparkContext.defaultParallelism
+
+    def run(batches):
+        resource((), tuple)
+        yield from batches
+
+    collected = spark.range(0, tasks, 1, tasks).select(F.reflect(F.lit("java.lang.System"), F.lit("gc")).alias("done"))
+    collected.mapInArrow(run, "done string").write.format("noop").mode("overwrite").save()

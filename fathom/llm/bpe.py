@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +22,21 @@ from pyspark.sql import types as T
 from .arrow import Memory, add_columns, joined, pieces, resource
 
 #: Entries of each generation of the memo of encoded pieces in a Python worker.
-MEMO_PIECES = 250_000
+MEMO_PIECES = 150_000
+#: Bytes of words replayed at once; each takes about 200 bytes of Python's memory. A longer word is replayed alone.
+REPLAY_BYTES = 64 << 10
+
+
+def blocks(words: list[bytes]) -> Iterator[list[bytes]]:
+    """The words in their order, in blocks of at most ``REPLAY_BYTES`` bytes or of one word."""
+    start = size = 0
+    for at, word in enumerate(words):
+        if at > start and size + len(word) > REPLAY_BYTES:
+            yield words[start:at]
+            start, size = at, 0
+        size += len(word)
+    if words:
+        yield words[start:]
 
 
 class MergeReplay:
@@ -141,9 +156,8 @@ class MergeReplay:
         cut: dict[int, list[str]] = {i: self.split(values[i]) for i, v in enumerate(known) if v is None}
         words = list({w: None for parts in cut.values() for w in parts})
         done: dict[str, bytes] = {}
-        for at in range(0, len(words), 50_000):
-            block = words[at : at + 50_000]
-            done.update(zip(block, self.replay([w.encode() for w in block])))
+        for block in blocks([w.encode() for w in words]):
+            done.update(zip(words[len(done) : len(done) + len(block)], self.replay(block)))
         for i, parts in cut.items():
             known[i] = done[parts[0]] if len(parts) == 1 else b"".join([done[w] for w in parts])
             if len(values[i]) <= 64:
