@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fathom.llm import bpe, decontam, jaccard, langid, pii
-from fathom.llm.arrow import settle
+from fathom.llm.arrow import settle, unload
 from fathom.llm.shared import discard, fresh, stored
 
 #: Chance cosine of a text of n n-grams with a foreign language, times the root of n, and the part of it that does not shrink.
@@ -25,6 +25,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     table stays empty.
     """
     settle(spark)
+    unload(spark)
     learn = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) != 1, F.lit(False))
     prototypes = langid.train(docs.where(learn))
     pred, score = fresh(docs.columns, "lang_pred"), fresh(docs.columns, "score")
@@ -42,6 +43,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     stays empty.
     """
     settle(spark)
+    unload(spark)
     groups = stored(jaccard.join(docs).where("n_shingles > 0").select("doc_id", "group_id", "set_id"), "pipeline-groups")
     own = fresh(docs.columns, "set")
     lost_id, lost_set = fresh([*docs.columns, own], "lost_id"), fresh([*docs.columns, own], "lost_set")
@@ -69,6 +71,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     alike; an empty benchmark drops nothing, an empty table stays empty.
     """
     settle(spark)
+    unload(spark)
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     found = fresh(docs.columns, "found")
     return decontam.find(docs, benchmark, found=found).where(F.size(found) == 0).select(docs.columns)
@@ -79,7 +82,8 @@ def sanitised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A null text stays null and keeps its ``n_chars``, an empty one stays empty. All rows stay,
     repeated ones too; copies of a text count once as support of a term. Columns named like the
-    kinds of spans are kept. An empty table stays empty.
+    kinds of spans are kept. An empty table stays empty. DataFrame functions only: no step of
+    this stage runs Python on the executors.
     """
     settle(spark)
     hidden = {c: fresh(docs.columns, f"kept_{c}") for c in docs.columns if c.lower() in pii.KINDS}
@@ -96,6 +100,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     empty table.
     """
     settle(spark)
+    unload(spark)
     made = bpe.encode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, decoded=None)
     return made.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"))
 

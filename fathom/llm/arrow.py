@@ -162,19 +162,34 @@ def resource(key: tuple, make: Callable):
     return _held[1]
 
 
+def _cores(spark: SparkSession) -> DataFrame:
+    """A row for each core, each in a task of its own: as the cores are free, they are dealt to all executors."""
+    tasks = 1 if is_local(spark) else spark.sparkContext.defaultParallelism
+    return spark.range(0, tasks, 1, tasks)
+
+
 def settle(spark: SparkSession) -> None:
-    """Let executors give back what finished steps have left in their memory, before the next one.
+    """Let executors give back what finished steps have left in their JVMs, before the next one.
 
-    A JVM keeps the heap that a step has grown, and a Python worker its operator's tables; the
-    next step in the other of the two comes on top. A full collection returns most of the heap to
-    the system. One short task a core; executors and workers that get none keep their share.
+    A JVM keeps the heap that a step has grown; Python workers of the next step come on top. A
+    full collection returns most of the heap to the system. One short task a core, by DataFrame
+    functions only, so steps that are to run without Python can settle too; executors that get
+    no task keep their share.
     """
     release(spark)
-    tasks = 1 if is_local(spark) else spark.sparkContext.defaultParallelism
+    _cores(spark).select(F.reflect(F.lit("java.lang.System"), F.lit("gc")).alias("done")).write.format("noop").mode("overwrite").save()
+
+
+def unload(spark: SparkSession) -> None:
+    """Let Python workers give back the tables of the operator before, for steps that run Python.
+
+    One short task a core; workers that get none keep theirs until their next operator asks for
+    its own or Spark ends them, after a minute without work.
+    """
 
     def run(batches):
         resource((), tuple)
         yield from batches
 
-    collected = spark.range(0, tasks, 1, tasks).select(F.reflect(F.lit("java.lang.System"), F.lit("gc")).alias("done"))
-    collected.mapInArrow(run, "done string").write.format("noop").mode("overwrite").save()
+    cores = _cores(spark)
+    cores.mapInArrow(run, cores.schema).write.format("noop").mode("overwrite").save()

@@ -1,5 +1,7 @@
 """What operators leave in the memory of executors and workers, and how much they take at once."""
 
+import re
+
 import public_tokenizers as P
 import pytest
 
@@ -38,6 +40,34 @@ def test_every_stage_settles_first(spark, sf, monkeypatch, name, stage):
         stage(spark, docs, sf)
 
 
+def _plans(spark, work):
+    """Physical plans of all that ``work()`` executes."""
+    store, bus = spark._jsparkSession.sharedState().statusStore(), spark._jsc.sc().listenerBus()
+    bus.waitUntilEmpty()
+    known = store.executionsList()
+    last = max((known.apply(i).executionId() for i in range(known.size())), default=-1)
+    work()
+    bus.waitUntilEmpty()
+    made = store.executionsList()
+    return [made.apply(i).physicalPlanDescription() for i in range(made.size()) if made.apply(i).executionId() > last]
+
+
+def _python(plans):
+    return [p for p in plans if re.search("Python|Pandas|Arrow", p)]
+
+
+def test_sanitising_runs_no_python_on_executors(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    plans = _plans(spark, lambda: corpus_pipeline.sanitised(spark, docs, sf).write.format("noop").mode("overwrite").save())
+    assert len(plans) > 5 and not _python(plans)
+
+
+def test_unloading_reaches_the_workers_and_settling_does_not(spark):
+    assert _python(_plans(spark, lambda: arrow.unload(spark)))
+    settled = _plans(spark, lambda: arrow.settle(spark))
+    assert settled and not _python(settled)
+
+
 def test_a_replay_takes_a_bounded_block_of_words(monkeypatch):
     replay = bpe.MergeReplay(P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN)
     text = " ".join("".join(chr(97 + i // 26**k % 26) for k in range(4)) for i in range(30_000)) + " " + "z" * 100_000 + " end"
